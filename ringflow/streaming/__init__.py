@@ -1,0 +1 @@
+"""ringflow.streaming"""
