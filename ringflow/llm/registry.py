@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, licenses, toxicity
+from . import ann, chat, decontaminate, language_id, licenses, near_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", language_id.held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "phrases", "chars")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -33,5 +46,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language, op9_chat, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language, op4_near_dedup, op7_decontamination, op8_ann, op9_chat, op10_licenses)}
 ORACLE_SQL = {"op9_chat": chat.ORACLE_SQL}
