@@ -136,19 +136,24 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> NoisyOrMod
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
-    """A sample of labelled documents, chosen by hash: TRAIN_TOXIC and TRAIN_CLEAN rows, TRAIN_CHARS characters at most."""
-    labelled = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    d = id_text(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = d.join(labelled, "doc_id")
+    """A sample of labelled documents, chosen by hash: TRAIN_TOXIC and TRAIN_CLEAN ids, TRAIN_CHARS characters at most.
+
+    The ids are picked from the labels alone and then broadcast, so no text but the
+    sample's own leaves its task.
+    """
+    labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    spark = docs.sparkSession
     out = []
     for cls, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        picked = rows.where(F.col("toxic") == cls).select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "text").limit(most)
+        ids = labelled.where(F.col("toxic") == cls).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()
+        sample = spark.createDataFrame(ids, "doc_id long")
+        rows = id_text(docs).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         held = 0
-        for r in picked.toLocalIterator():
+        for r in rows.toLocalIterator():
             held += len(r["text"])
             if held > TRAIN_CHARS * most / (TRAIN_TOXIC + TRAIN_CLEAN):
                 break
-            out.append((r["text"], int(r["toxic"])))
+            out.append((r["text"], cls))
     return out
 
 
