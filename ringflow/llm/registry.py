@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, language_id, licenses, near_dedup, secrets, toxicity
+from . import ann, chat, decontaminate, language_id, licenses, near_dedup, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("name")
 
@@ -50,5 +54,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language, op4_near_dedup, op6_secrets, op7_decontamination, op8_ann, op9_chat, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language, op4_near_dedup, op5_packing, op6_secrets, op7_decontamination, op8_ann, op9_chat, op10_licenses)}
 ORACLE_SQL = {"op6_secrets": secrets.oracle_sql(), "op9_chat": chat.ORACLE_SQL}
