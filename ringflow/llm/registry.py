@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, language_id, licenses, near_dedup, packing, secrets, toxicity
+from . import ann, chat, decontaminate, language_id, licenses, near_dedup, packing, secrets, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted", "n_sentences", "offending")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify_languages(docs, docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -54,5 +59,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language, op4_near_dedup, op5_packing, op6_secrets, op7_decontamination, op8_ann, op9_chat, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_language, op4_near_dedup, op5_packing, op6_secrets, op7_decontamination, op8_ann, op9_chat, op10_licenses)}
 ORACLE_SQL = {"op6_secrets": secrets.oracle_sql(), "op9_chat": chat.ORACLE_SQL}
