@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import WordHashes, id_text, map_rows, mix
+from ._text import WordHashes, filter_rows, id_text, map_rows, mix
 
 # Spaced seeds of weight 5. For every pair of near substitutions one of them fits between.
 SEEDS = ("11111", "1101101", "11001011", "101100101", "1010011001")
@@ -195,3 +195,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_O
         part = map_rows(d, make, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` (with a column text) without the rows that hold an item; all columns stay, nothing is shuffled."""
+    for chunk in benchmark_chunks(benchmark, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(chunk)
+
+        def make(shared=shared):
+            index = SeedIndex(shared.value)
+
+            def keep(texts: list) -> list[bool]:
+                leaked = {k for k, *_ in index.scan(texts, min_overlap)}
+                return [k not in leaked for k in range(len(texts))]
+
+            return keep
+
+        docs = filter_rows(docs, make)
+    return docs

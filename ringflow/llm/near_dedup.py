@@ -272,3 +272,9 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` (columns doc_id, text and any others) with one id of each group; rows without id stay."""
+    gone = write_table(group_near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -135,10 +135,16 @@ def redact_text(text: Column, spans: Column) -> Column:
     return F.when(F.size(pairs) == 0, text).otherwise(F.concat(end["out"], F.substr(text, end["at"] + 1, F.length(text))))
 
 
+#: Findings that may be broadcast, in bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with all findings replaced by MARK; rows without findings as they were. Other columns stay."""
     found = scan_secrets(docs, scope).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("name").alias("_name"), F.col("spans").alias("_spans")).distinct()
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_name")), "left")
+    found = write_table(found, "findings")
+    size = found.agg(F.sum(F.length("_spans") + 32)).first()[0] or 0
+    joined = docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_name")), "left")
     return joined.select(*[redact_text(docs["text"], F.coalesce("_spans", F.lit(""))).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

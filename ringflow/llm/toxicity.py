@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import fold_remainder, id_text, map_rows
+from ._text import filter_rows, fold_remainder, id_text, map_rows
 
 #: Bounded sample of labelled documents the model is fitted on: documents of either class at most, and characters in all.
 TRAIN_TOXIC = 1500
@@ -192,5 +192,16 @@ def score_documents(docs: DataFrame, model: NoisyOrModel, threshold: float = THR
     return map_rows(id_text(docs, id_col, text_col), make, "doc_id long, score double, predicted int, n_sentences long, offending string")
 
 
+def drop_toxic(docs: DataFrame, model: NoisyOrModel, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` (with a column text) without the rows that reach ``threshold``; all columns stay, and so do null and empty texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def make():
+        own = NoisyOrModel(*shared.value)
+        return lambda texts: [not t or own.score(t)[0] < threshold for t in texts]
+
+    return filter_rows(docs, make)
+
+
 def held_out(doc_id):
     return fold_remainder(doc_id, 4) == 2
