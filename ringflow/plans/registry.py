@@ -1,4 +1,428 @@
-"""Queries over the driver's tables and their SQL."""
+"""One query for each operator over the driver's tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..functions.ordered import numbered
+from ..functions.tables import write_table
+from ..operators import centrality, cycles, graph
+from ..sources import edges as src
+from ..sources import export
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.order_transfers(spark, sf_dir, src.DENSE)
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.order_transfers(spark, sf_dir, src.SPARSE)
+
+
+def written(view, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as a table, for plans that read their edges many times."""
+    return write_table(view(spark, sf_dir), "view")
+
+
+def sampled_sources(edges: DataFrame) -> DataFrame:
+    """The query's stated sources: ids divisible by 10."""
+    return graph.vertices(centrality.positive(edges)).where("id % 10 = 0")
+
+
+def _ids(n: int) -> list[str]:
+    return [f"v{i}" for i in range(1, n + 1)]
+
+
+Q: dict = {}
+
+
+def query(f):
+    Q[f.__name__] = f
+    return f
+
+
+@query
+def edges_scan(spark, sf_dir):
+    return dense(spark, sf_dir).select("src", "dst")
+
+
+@query
+def edges_cents(spark, sf_dir):
+    return dense(spark, sf_dir).select("src", "dst", "cents")
+
+
+@query
+def positive_weight_filter(spark, sf_dir):
+    shifted = sparse(spark, sf_dir).withColumn("weight", F.col("weight") - 5)
+    return src.positive_weights(shifted).select("src", "dst", "weight")
+
+
+@query
+def max_weight(spark, sf_dir):
+    return sparse(spark, sf_dir).agg(F.max("weight").alias("max_weight"))
+
+
+@query
+def money_ratio_pairs(spark, sf_dir):
+    return cycles.consecutive_pairs(dense(spark, sf_dir))
+
+
+@query
+def nation_trade(spark, sf_dir):
+    return src.nation_trade(spark, sf_dir)
+
+
+@query
+def out_degree(spark, sf_dir):
+    return graph.out_degree(dense(spark, sf_dir))
+
+
+@query
+def in_degree(spark, sf_dir):
+    return graph.in_degree(dense(spark, sf_dir))
+
+
+@query
+def degrees(spark, sf_dir):
+    return graph.degrees(dense(spark, sf_dir))
+
+
+@query
+def in0_out1_count(spark, sf_dir):
+    return graph.degrees(sparse(spark, sf_dir)).agg(F.count_if((F.col("n_in") == 0) & (F.col("n_out") == 1)).alias("n"))
+
+
+@query
+def vertices_union(spark, sf_dir):
+    return graph.vertices(dense(spark, sf_dir))
+
+
+@query
+def source_vertices(spark, sf_dir):
+    return graph.source_vertices(dense(spark, sf_dir))
+
+
+@query
+def dense_ids(spark, sf_dir):
+    return graph.dense_ids(sparse(spark, sf_dir))
+
+
+@query
+def edges_encoded(spark, sf_dir):
+    return graph.encode(written(sparse, spark, sf_dir)).select("dsrc", "ddst", "weight")
+
+
+@query
+def csr_offsets(spark, sf_dir):
+    return graph.csr_offsets(sparse(spark, sf_dir))
+
+
+@query
+def adjacency_sorted(spark, sf_dir):
+    return graph.adjacency(dense(spark, sf_dir))
+
+
+@query
+def edges_semi_join(spark, sf_dir):
+    return graph.with_onward_edges(written(sparse, spark, sf_dir)).select("src", "dst", "cents")
+
+
+@query
+def edges_trimmed(spark, sf_dir):
+    return graph.trim(graph.without_loops(sparse(spark, sf_dir))).select("src", "dst", "cents")
+
+
+@query
+def packed_edges(spark, sf_dir):
+    p = sparse(spark, sf_dir).select(scalars.pack_id_weight(F.col("dst"), F.col("weight")).alias("packed"))
+    return p.select("packed", scalars.unpack_id(F.col("packed")).alias("id"), scalars.unpack_weight(F.col("packed")).alias("weight"))
+
+
+@query
+def two_hop_forward(spark, sf_dir):
+    return cycles.CyclePlan(dense(spark, sf_dir), True).open_paths(3).select("v1", "v2", "v3", "first", "last")
+
+
+@query
+def back3_paths(spark, sf_dir):
+    return cycles.CyclePlan(dense(spark, sf_dir), True).ways_back(2).select("v1", "h", "b1", "b2", "first_back", "last_back")
+
+
+@query
+def back4_paths(spark, sf_dir):
+    return cycles.CyclePlan(dense(spark, sf_dir), True).ways_back(3).select("v1", "h", "b1", "b2", "b3", "first_back", "last_back")
+
+
+def _of_length(n: int, ratio: bool):
+    def run(spark, sf_dir):
+        return cycles.cycles_of_length(dense(spark, sf_dir), n, ratio)
+
+    return run
+
+
+for _n in range(3, 9):
+    if _n < 8:
+        Q[f"cycles{_n}_plain"] = _of_length(_n, False)
+    Q[f"cycles{_n}_ratio"] = _of_length(_n, True)
+
+
+@query
+def cycles_all_plain(spark, sf_dir):
+    return numbered(cycles.all_cycles(dense(spark, sf_dir), 7, False), ["len", *_ids(7)])
+
+
+@query
+def cycles_all_ratio(spark, sf_dir):
+    return numbered(cycles.all_cycles(dense(spark, sf_dir), 8, True), ["len", *_ids(8)])
+
+
+@query
+def cycle_counts_by_length(spark, sf_dir):
+    return cycles.counts_by_length(cycles.all_cycles(dense(spark, sf_dir), 8, True))
+
+
+@query
+def cycle_lines_text(spark, sf_dir):
+    return export.cycle_lines(write_table(cycles.all_cycles(dense(spark, sf_dir), 8, True), "cycles"))
+
+
+@query
+def count_digits(spark, sf_dir):
+    return cycles.counts_by_length(cycles.all_cycles(dense(spark, sf_dir), 8, True)).select("len", scalars.digits(F.col("n")).alias("digits"))
+
+
+@query
+def sssp_distances(spark, sf_dir):
+    e = written(sparse, spark, sf_dir)
+    return centrality.shortest_distances(e, sampled_sources(e))
+
+
+@query
+def shortest_path_dag(spark, sf_dir):
+    e = written(sparse, spark, sf_dir)
+    return centrality.shortest_path_edges(e, centrality.shortest_distances(e, sampled_sources(e)))
+
+
+@query
+def shortest_path_counts(spark, sf_dir):
+    e = written(sparse, spark, sf_dir)
+    s = sampled_sources(e)
+    dag = write_table(centrality.shortest_path_edges(e, centrality.shortest_distances(e, s)), "dag")
+    return centrality.shortest_path_counts(dag, s).select("s", "v", F.col("sigma").cast("bigint").alias("sigma"))
+
+
+@query
+def betweenness_sampled(spark, sf_dir):
+    e = written(sparse, spark, sf_dir)
+    scores = centrality.betweenness(e, sampled_sources(e))
+    return scores.select("id", scalars.rounded_score(F.col("score")).alias("score"))
+
+
+@query
+def betweenness_by_joins(spark, sf_dir):
+    e = written(sparse, spark, sf_dir)
+    scores = centrality.betweenness_by_joins(e, sampled_sources(e))
+    return scores.select("id", scalars.rounded_score(F.col("score")).alias("score"))
+
+
+@query
+def betweenness_top100(spark, sf_dir):
+    return centrality.top_scores(centrality.betweenness(written(sparse, spark, sf_dir)))
+
+
+@query
+def betweenness_lines_text(spark, sf_dir):
+    e = written(sparse, spark, sf_dir)
+    return export.score_lines(centrality.top_scores(centrality.betweenness(e, sampled_sources(e))))
+
+
+@query
+def betweenness_compressed(spark, sf_dir):
+    return centrality.top_scores(centrality.betweenness_compressed(written(sparse, spark, sf_dir)))
+
+
+@query
+def scc_labels(spark, sf_dir):
+    return graph.scc_labels(written(sparse, spark, sf_dir))
+
+
+@query
+def chain_peel(spark, sf_dir):
+    return graph.chain_peel(graph.without_loops(written(sparse, spark, sf_dir)))
+
+
+@query
+def in_tree_sizes(spark, sf_dir):
+    return graph.in_tree_sizes(written(sparse, spark, sf_dir))
+
+
+QUERIES = dict(Q)
+
+
+# --- the same in SQL -------------------------------------------------------------
+
+
+def _view(name: str, priorities: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{p}'" for p in priorities)
+    return f"""{name} AS (SELECT src, dst, cents, weight FROM (
+      SELECT o_custkey AS src, LEAD(o_custkey) OVER (ORDER BY o_orderkey) AS dst, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS cents,
+             CAST(1 + o_orderkey % 97 AS BIGINT) AS weight, o_orderpriority AS pr FROM orders) x WHERE dst IS NOT NULL AND pr IN ({listed}))"""
+
+
+DENSE_SQL, SPARSE_SQL = _view("d", src.DENSE), _view("p", src.SPARSE)
+VERTICES = "v AS (SELECT src AS id FROM p UNION SELECT dst FROM p)"
+
+
+def _ratio(x: str, y: str) -> str:
+    return f"{x} <= 5 * {y} AND {y} <= 3 * {x}"
+
+
+def _path_sql(k: int, ratio: bool, closed: bool, forward: bool = True) -> tuple[str, list[str]]:
+    """FROM ... WHERE of a k-edge chain over d without loops, and its vertices in order."""
+    names = [f"e{i}" for i in range(1, k + 1)]
+    text = f"d {names[0]}"
+    verts = [f"{names[0]}.src"] + [f"{n}.dst" for n in names]
+    if closed:
+        verts = verts[:-1]
+    for i, n in enumerate(names[1:], 1):
+        on = [f"{names[i - 1]}.dst = {n}.src"]
+        if closed and i == k - 1:
+            on.append(f"{n}.dst = e1.src")
+        if ratio:
+            on.append(_ratio(f"{names[i - 1]}.cents", f"{n}.cents"))
+        text += f" JOIN d {n} ON " + " AND ".join(on)
+    root, others = (verts[0], verts[1:]) if forward else (verts[-1], verts[:-1])
+    where = [f"{x} > {root}" for x in others] + [f"{a} <> {b}" for i, a in enumerate(others) for b in others[i + 1 :]]
+    if closed and ratio:
+        where.append(_ratio(f"{names[-1]}.cents", "e1.cents"))
+    return f"{text} WHERE {' AND '.join(where)}", verts
+
+
+def _cycle_sql(n: int, ratio: bool) -> str:
+    body, verts = _path_sql(n, ratio, True)
+    return f"SELECT {', '.join(f'{v} AS v{i}' for i, v in enumerate(verts, 1))} FROM {body}"
+
+
+def _all_sql(max_len: int, ratio: bool) -> str:
+    parts = []
+    for n in range(3, max_len + 1):
+        body, verts = _path_sql(n, ratio, True)
+        cols = [f"{v} AS v{i}" for i, v in enumerate(verts, 1)] + [f"CAST(NULL AS BIGINT) AS v{i}" for i in range(n + 1, max_len + 1)]
+        parts.append(f"SELECT CAST({n} AS INT) AS len, {', '.join(cols)} FROM {body}")
+    return " UNION ALL ".join(parts)
+
+
+def _order(n: int) -> str:
+    return ", ".join(["len"] + [f"v{i} NULLS FIRST" for i in range(1, n + 1)])
+
+
+_TRIMMED = """
+r AS (SELECT DISTINCT src AS a, dst AS b FROM l UNION SELECT r.a, l.dst FROM r JOIN l ON r.b = l.src),
+c AS (SELECT a AS id FROM r WHERE a = b),
+from_c AS (SELECT id FROM c UNION SELECT b FROM r JOIN c ON r.a = c.id),
+to_c AS (SELECT id FROM c UNION SELECT a FROM r JOIN c ON r.b = c.id)"""
+
+_TRIMMED_DENSE = f"WITH RECURSIVE {DENSE_SQL}, l AS (SELECT * FROM d WHERE src <> dst), {_TRIMMED}, k AS (SELECT * FROM l WHERE src IN (SELECT id FROM from_c) AND dst IN (SELECT id FROM to_c))"
+
+
+def _trim_paths(select: str) -> str:
+    return _TRIMMED_DENSE.replace("WITH RECURSIVE d AS", "WITH RECURSIVE d0 AS").replace("FROM d WHERE", "FROM d0 WHERE") + f", d AS (SELECT * FROM k) {select}"
+
+
+def _path_query(k: int, forward: bool) -> str:
+    body, verts = _path_sql(k, True, False, forward)
+    if forward:
+        cols = [f"{v} AS v{i}" for i, v in enumerate(verts, 1)] + ["e1.cents AS first", f"e{k}.cents AS last"]
+    else:
+        cols = [f"{verts[-1]} AS v1", f"{verts[0]} AS h"] + [f"{v} AS b{i}" for i, v in enumerate(verts[1:-1], 1)] + ["e1.cents AS first_back", f"e{k}.cents AS last_back"]
+    return _trim_paths(f"SELECT {', '.join(cols)} FROM {body}")
+
+
+_SCC = """
+r AS (SELECT DISTINCT src AS a, dst AS b FROM p UNION SELECT r.a, p.dst FROM r JOIN p ON r.b = p.src),
+scc AS (SELECT v.id, LEAST(v.id, COALESCE(MIN(r.b), v.id)) AS scc FROM v LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON r.a = q.b AND r.b = q.a) r ON v.id = r.a GROUP BY v.id)"""
+
+_TREES = f"""
+l AS (SELECT src, dst FROM p WHERE src <> dst),
+par AS (SELECT l.src AS id, l.dst AS parent FROM l JOIN (SELECT src FROM l GROUP BY src HAVING COUNT(*) = 1) o ON l.src = o.src
+  JOIN scc a ON l.src = a.id JOIN scc b ON l.dst = b.id WHERE a.scc <> b.scc),
+up AS (SELECT id, parent AS up, CAST(1 AS BIGINT) AS depth FROM par UNION ALL SELECT up.id, par.parent, up.depth + 1 FROM up JOIN par ON up.up = par.id)"""
+
+
+def _distances(where: str) -> str:
+    """dist(s, t, d) over positive weights without loops from the sources that ``where`` names."""
+    return f"""
+w AS (SELECT src, dst, weight FROM p WHERE weight > 0 AND src <> dst),
+v AS (SELECT src AS id FROM w UNION SELECT dst FROM w),
+dist(s, t, d) USING KEY (s, t) AS (
+  SELECT id, id, CAST(0 AS BIGINT) FROM v {where}
+  UNION
+  SELECT n.s, n.t, n.d FROM (SELECT x.s, w.dst AS t, MIN(x.d + w.weight) AS d FROM dist x JOIN w ON x.t = w.src GROUP BY x.s, w.dst) n
+  LEFT JOIN recurring.dist o ON n.s = o.s AND n.t = o.t WHERE o.d IS NULL OR n.d < o.d),
+dag AS (SELECT a.s, w.src AS u, w.dst AS v FROM dist a JOIN w ON a.t = w.src JOIN dist b ON b.s = a.s AND b.t = w.dst AND a.d + w.weight = b.d)"""
+
+
+_PATHS = """
+ways AS (SELECT s, id AS t, id AS src0, 1 AS hop FROM (SELECT DISTINCT s, s AS id FROM dist) UNION ALL SELECT y.s, g.v, y.src0, y.hop + 1 FROM ways y JOIN dag g ON y.s = g.s AND y.t = g.u),
+sigma AS (SELECT s, t AS v, COUNT(*) AS sigma FROM ways GROUP BY s, t)"""
+
+_SCORES = _PATHS + """,
+back AS (SELECT g.s, g.u, CAST(1 AS DOUBLE) / o.sigma AS x FROM dag g JOIN sigma o ON g.s = o.s AND g.v = o.v
+  UNION ALL SELECT b.s, g.u, b.x FROM back b JOIN dag g ON b.s = g.s AND b.u = g.v),
+sc AS (SELECT b.u AS id, SUM(b.x * o.sigma) AS score FROM (SELECT s, u, SUM(x) AS x FROM back GROUP BY s, u) b JOIN sigma o ON b.s = o.s AND b.u = o.v WHERE b.s <> b.u GROUP BY b.u)"""
+
+_SAMPLED = f"WITH RECURSIVE {SPARSE_SQL}, {_distances('WHERE id % 10 = 0')}"
+_EVERY = f"WITH RECURSIVE {SPARSE_SQL}, {_distances('')}"
+_TOP = """SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score FROM (
+  SELECT v.id, ROUND(COALESCE(sc.score, 0) + 1e-7, 3) AS score FROM v LEFT JOIN sc ON v.id = sc.id) ORDER BY score DESC, id LIMIT 100"""
+
+ORACLE_SQL = {
+    "edges_scan": f"WITH {DENSE_SQL} SELECT src, dst FROM d",
+    "edges_cents": f"WITH {DENSE_SQL} SELECT src, dst, cents FROM d",
+    "positive_weight_filter": f"WITH {SPARSE_SQL} SELECT src, dst, weight - 5 AS weight FROM p WHERE weight - 5 > 0",
+    "max_weight": f"WITH {SPARSE_SQL} SELECT MAX(weight) AS max_weight FROM p",
+    "money_ratio_pairs": f"WITH {DENSE_SQL} SELECT e.src AS a, e.dst AS b, f.dst AS c, e.cents AS x, f.cents AS y FROM d e JOIN d f ON e.dst = f.src WHERE {_ratio('e.cents', 'f.cents')}",
+    "nation_trade": """SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
+    "out_degree": f"WITH {DENSE_SQL} SELECT src AS id, COUNT(*) AS deg FROM d GROUP BY 1",
+    "in_degree": f"WITH {DENSE_SQL} SELECT dst AS id, COUNT(*) AS deg FROM d GROUP BY 1",
+    "degrees": f"WITH {DENSE_SQL} SELECT id, CAST(SUM(i) AS BIGINT) AS n_in, CAST(SUM(o) AS BIGINT) AS n_out FROM (SELECT src AS id, 0 AS i, 1 AS o FROM d UNION ALL SELECT dst, 1, 0 FROM d) GROUP BY id",
+    "in0_out1_count": f"WITH {SPARSE_SQL} SELECT COUNT(*) AS n FROM (SELECT src FROM p WHERE src NOT IN (SELECT dst FROM p) GROUP BY src HAVING COUNT(*) = 1)",
+    "vertices_union": f"WITH {DENSE_SQL} SELECT src AS id FROM d UNION SELECT dst FROM d",
+    "source_vertices": f"WITH {DENSE_SQL} SELECT DISTINCT src AS id FROM d",
+    "dense_ids": f"WITH {SPARSE_SQL}, {VERTICES} SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS dense FROM v",
+    "edges_encoded": f"WITH {SPARSE_SQL}, {VERTICES}, n AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS k FROM v) SELECT a.k AS dsrc, b.k AS ddst, weight FROM p JOIN n a ON src = a.id JOIN n b ON dst = b.id",
+    "csr_offsets": f"WITH {SPARSE_SQL} SELECT id, deg, CAST(COALESCE(SUM(deg) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM (SELECT src AS id, COUNT(*) AS deg FROM p GROUP BY src)",
+    "adjacency_sorted": f"WITH {DENSE_SQL} SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM d GROUP BY src",
+    "edges_semi_join": f"WITH {SPARSE_SQL} SELECT src, dst, cents FROM p WHERE dst IN (SELECT src FROM p)",
+    "edges_trimmed": f"WITH RECURSIVE {SPARSE_SQL}, l AS (SELECT * FROM p WHERE src <> dst), {_TRIMMED} SELECT src, dst, cents FROM l WHERE src IN (SELECT id FROM from_c) AND dst IN (SELECT id FROM to_c)",
+    "packed_edges": f"WITH {SPARSE_SQL} SELECT dst * 1024 + weight AS packed, dst AS id, weight FROM p",
+    "two_hop_forward": _path_query(2, True),
+    "back3_paths": _path_query(3, False),
+    "back4_paths": _path_query(4, False),
+    "cycles_all_plain": f"WITH {DENSE_SQL} SELECT *, row_number() OVER (ORDER BY {_order(7)}) AS pos FROM ({_all_sql(7, False)})",
+    "cycles_all_ratio": f"WITH {DENSE_SQL} SELECT *, row_number() OVER (ORDER BY {_order(8)}) AS pos FROM ({_all_sql(8, True)})",
+    "cycle_counts_by_length": f"WITH {DENSE_SQL} SELECT len, COUNT(*) AS n FROM ({_all_sql(8, True)}) GROUP BY len",
+    "cycle_lines_text": f"""WITH {DENSE_SQL}, a AS ({_all_sql(8, True)}) SELECT 0 AS line_no, CAST(COUNT(*) AS VARCHAR) AS line FROM a
+      UNION ALL SELECT row_number() OVER (ORDER BY {_order(8)}), concat_ws(',', {', '.join(_ids(8))}) FROM a""",
+    "count_digits": f"WITH {DENSE_SQL} SELECT len, CAST(length(CAST(COUNT(*) AS VARCHAR)) AS INT) AS digits FROM ({_all_sql(8, True)}) GROUP BY len",
+    "sssp_distances": f"{_SAMPLED} SELECT s, t AS v, d FROM dist",
+    "shortest_path_dag": f"{_SAMPLED} SELECT s, u, v FROM dag",
+    "shortest_path_counts": f"{_SAMPLED}, {_PATHS} SELECT s, v, sigma FROM sigma",
+    "betweenness_sampled": f"{_SAMPLED}, {_SCORES} SELECT v.id, ROUND(COALESCE(score, 0) + 1e-7, 3) AS score FROM (SELECT src AS id FROM p UNION SELECT dst FROM p) v LEFT JOIN sc ON v.id = sc.id",
+    "betweenness_by_joins": f"{_SAMPLED}, {_SCORES} SELECT id, ROUND(score + 1e-7, 3) AS score FROM sc",
+    "betweenness_top100": f"{_EVERY}, {_SCORES} {_TOP}",
+    "betweenness_lines_text": f"{_SAMPLED}, {_SCORES} SELECT rank AS line_no, id || ',' || printf('%.3f', score) AS line FROM ({_TOP})",
+    "betweenness_compressed": f"{_EVERY}, {_SCORES} {_TOP}",
+    "scc_labels": f"WITH RECURSIVE {SPARSE_SQL}, {VERTICES}, {_SCC} SELECT id, scc FROM scc",
+    "in_tree_sizes": f"""WITH RECURSIVE {SPARSE_SQL}, {VERTICES}, {_SCC}, {_TREES}
+      SELECT v.id, COALESCE(t.root, v.id) AS root, COALESCE(t.depth, 0) AS depth, COALESCE(s.size, 0) AS size FROM v
+      LEFT JOIN (SELECT id, arg_max(up, depth) AS root, MAX(depth) AS depth FROM up GROUP BY id) t ON v.id = t.id
+      LEFT JOIN (SELECT up AS id, COUNT(*) AS size FROM up GROUP BY up) s ON v.id = s.id""",
+}
+for _n in range(3, 9):
+    if _n < 8:
+        ORACLE_SQL[f"cycles{_n}_plain"] = f"WITH {DENSE_SQL} {_cycle_sql(_n, False)}"
+    ORACLE_SQL[f"cycles{_n}_ratio"] = f"WITH {DENSE_SQL} {_cycle_sql(_n, True)}"
