@@ -11,7 +11,8 @@ sets, and verified links are grouped by union-find.
 Documents of equal sets form one class and only its smallest id goes on. In a
 bucket of one band, every class is first verified against the bucket's smallest
 one, which settles large groups with one link for each member; afterwards only
-pairs of different components are compared, over signatures, and verified.
+pairs of different components are compared, over signatures, and those that come
+near are verified where they meet, in the first bucket that the pair shares.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._store import write_table
 from ._text import WordHashes, id_text, map_rows, mix, utf8, window_hashes
-from .components import components
+from .components import UnionFind, components
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -36,8 +37,8 @@ BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
 #: Signature agreement below which a pair isn't verified: 0.75 less 5.7 standard deviations of a sketch of 128 bytes.
 FLOOR = 0.53
-#: Most similar partners of another component that are verified in the first round; the second verifies all.
-FIRST_PARTNERS = 4
+#: Members of a bucket that one task compares; of a larger one every two tiles meet.
+TILE = 4096
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Shingles whose permutations are held at once.
@@ -130,17 +131,26 @@ def with_ids(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the given documents; sorted 64-bit hashes."""
+    """(doc_id, name, shingles) of the given documents; sorted 64-bit hashes."""
 
     def make():
         hashes = WordHashes()
 
         def work(rows: dict) -> dict:
-            return {"doc_id": rows["doc_id"], "shingles": [shingle_set(hashes.of(utf8(t).lower().split())).tobytes() for t in rows["text"]]}
+            sets = [shingle_set(hashes.of(utf8(t).lower().split())).tobytes() for t in rows["text"]]
+            return {"doc_id": rows["doc_id"], "name": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets}
 
         return work
 
-    return map_rows(with_ids(docs, ids, ids.count()), make, "doc_id long, shingles binary")
+    return map_rows(with_ids(docs, ids, ids.count()), make, "doc_id long, name binary, shingles binary")
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets reach PERCENT."""
+    if not 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,65 +163,58 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b, keep = batch.column("a").to_numpy(), batch.column("b").to_numpy(), np.zeros(batch.num_rows, bool)
             sa, sb = batch.column("sa"), batch.column("sb")
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common)
+                keep[i] = linked(np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
-def cross_pairs(rows: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree on FLOOR of the places.
+class Bucket:
+    """Members of one band's bucket (or of two tiles of a very large one) that lie in different components."""
 
-    ``rows``: key, comp, id, n, sig, any number of rows a bucket. ``most``: pairs
-    given for each member and other component, best first; None: all.
-    """
-
-    def of_bucket(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[list[int], list[int]]:
+    def __init__(self, key: int, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, bands: np.ndarray, sig: np.ndarray):
+        self.key, self.ids, self.n, self.bands, self.sig = key, ids, n, bands, sig
+        _, self.comp, count = np.unique(comp, return_inverse=True, return_counts=True)
         # members of the largest component meet all others, which also meet each other
-        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
-        few = np.flatnonzero(where != count.argmax())
-        a, b = [], []
-        for i in few.tolist():
-            other = np.flatnonzero((where != where[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-            same = (sig[other] == sig[i]).mean(axis=1)
-            other, same = other[same >= FLOOR], same[same >= FLOOR]
-            if most is not None and len(other) > most:
-                order = np.lexsort((ids[other], -same, where[other]))
-                group = where[other][order]
-                rank = np.arange(len(order)) - np.searchsorted(group, group)
-                other = other[order[rank < most]]
-            a += np.minimum(ids[other], ids[i]).tolist()
-            b += np.maximum(ids[other], ids[i]).tolist()
-        return a, b
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            elif rest is None:
-                return
-            else:
-                table = rest
-            key = table.column("key").to_numpy()
-            cut = len(key) if batch is None else int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-            rest = table.slice(cut)
-            if not cut:
-                continue
-            key, ids, comp, n = key[:cut], table.column("id").to_numpy()[:cut], table.column("comp").to_numpy()[:cut], table.column("n").to_numpy()[:cut]
-            sig = np.frombuffer(b"".join(table.column("sig").slice(0, cut).to_pylist()), np.uint8).reshape(cut, PLACES)
-            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            a, b = [], []
+        self.few = np.flatnonzero(self.comp != count.argmax()).tolist()
+        self.rank = np.zeros(len(ids), np.int64)
+        self.rank[self.few] = np.arange(1, len(self.few) + 1)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components that may be linked with ``i`` and share no earlier bucket with it, most similar first."""
+        n = self.n
+        other = np.flatnonzero((self.comp != self.comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & ((self.rank == 0) | (self.rank > self.rank[i])))
+        same = (self.sig[other] == self.sig[i]).mean(axis=1)
+        other, same = other[same >= FLOOR], same[same >= FLOOR]
+        first = (self.bands[other] == self.bands[i]).argmax(axis=1)
+        own = self.bands[i][first] == self.key
+        return other[own][np.argsort(-same[own], kind="stable")]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """Call ``work(bucket, rows)`` for each run of equal (key, tiles) in sorted batches."""
+    rest = None
+    for batch in _then_none(batches):
+        if batch is not None:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        elif rest is None:
+            return
+        else:
+            table = rest
+        key, tiles = table.column("key").to_numpy(), table.column("tiles").to_numpy()
+        edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tiles[1:] != tiles[:-1]), True]) if len(key) else np.zeros(1, np.int64)
+        if batch is not None:
+            edges = edges[:-1]  # the last run may go on
+        if len(edges) > 1:
+            done = table.slice(0, int(edges[-1]))
+            ids, comp, n = (done.column(c).to_numpy() for c in ("id", "comp", "n"))
+            bands = np.array(done.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+            sig = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                x, y = of_bucket(ids[lo:hi], comp[lo:hi], n[lo:hi], sig[lo:hi])
-                a += x
-                b += y
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    sorted_rows = rows.select("key", "comp", "id", "n", "sig").repartition("key").sortWithinPartitions("key", "id")
-    return sorted_rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+                out = work(Bucket(key[lo], ids[lo:hi], comp[lo:hi], n[lo:hi], bands[lo:hi], sig[lo:hi]), done.slice(lo, hi - lo))
+                if out is not None:
+                    yield out
+        rest = table.slice(int(edges[-1]) if len(edges) else 0)
 
 
 def _then_none(items):
@@ -219,6 +222,49 @@ def _then_none(items):
     yield None
 
 
+def by_bucket(rows: DataFrame) -> DataFrame:
+    """``rows`` sorted by bucket; one above TILE members is cut in tiles, and every two tiles meet."""
+    tiles = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.least(t, own) * F.col("k") + F.greatest(t, own))
+    return rows.join(tiles, "key").withColumn("tiles", F.explode(meets)).drop("k").repartition("key", "tiles").sortWithinPartitions("key", "tiles", "id")
+
+
+def prospects(rows: DataFrame) -> DataFrame:
+    """(key, id) of the members that have a partner to be verified in that bucket, judged by signatures."""
+
+    def work(bucket: Bucket, _) -> pa.RecordBatch | None:
+        needed: set[int] = set()
+        for i in bucket.few:
+            other = bucket.partners(i)
+            if len(other):
+                needed.add(i)
+                needed.update(other.tolist())
+        if not needed:
+            return None
+        return pa.RecordBatch.from_pydict({"key": pa.array([bucket.key] * len(needed), pa.int64()), "id": pa.array(bucket.ids[sorted(needed)], pa.int64())})
+
+    return by_bucket(rows).mapInArrow(lambda batches: _buckets(batches, work), "key long, id long").distinct()
+
+
+def cross_links(rows: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join components inside buckets; ``rows`` also holds shingles. Union-find skips what a link has already joined, so a bucket gives fewer links than members."""
+
+    def work(bucket: Bucket, part: pa.Table) -> pa.RecordBatch | None:
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+        joined, a, b = UnionFind(), [], []
+        comp = bucket.comp.tolist()
+        for i in bucket.few:
+            for j in bucket.partners(i).tolist():
+                if joined.find(comp[i]) != joined.find(comp[j]) and linked(full[i], full[j]):
+                    joined.union(comp[i], comp[j])
+                    a.append(bucket.ids[i])
+                    b.append(bucket.ids[j])
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) if a else None
+
+    return by_bucket(rows).mapInArrow(lambda batches: _buckets(batches, work), "a long, b long")
+
+
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -236,7 +282,7 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     live = rows.where("n > 0 AND doc_id IS NOT NULL")
     # classes of equal sets; the minimum is taken before the shuffle, so a hot class is one row a task
     classes = write_table(live.groupBy("name").agg(F.min(F.struct("doc_id", "n", "sig", "bands")).alias("x")).select("name", F.col("x.doc_id").alias("id"), "x.n", "x.sig", "x.bands"), "classes")
-    members = classes.select("id", F.explode("bands").alias("key"))
+    members = classes.select("id", "name", F.explode("bands").alias("key"))
     buckets = write_table(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader"), "buckets")
     crowded = write_table(members.join(buckets, "key"), "members")
     # first links: every class with the leader it shares most bands with
@@ -249,16 +295,14 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = crowded.select(F.col("id").alias("doc_id")).distinct()
     sets = write_table(full_sets(d.where("doc_id IS NOT NULL"), ids).distinct(), "sets")
     links = write_table(verify(star, sets), "verified")
-    tried = star
-    signature = classes.select("id", "n", "sig")
-    for most in (FIRST_PARTNERS, None):
-        comp = components(links)
-        known = crowded.select("key", "id").join(comp, crowded["id"] == comp["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = known.join(open_keys, "key", "left_semi").join(signature, "id")
-        pairs = write_table(cross_pairs(left, most).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(write_table(verify(pairs, sets), "verified"))
-        tried = tried.unionByName(pairs)
+    # what the leaders left apart: pairs of different components in one bucket
+    comp = components(links)
+    known = members.join(buckets.select("key"), "key", "left_semi").join(comp, members["id"] == comp["node"], "left").select("key", "id", "name", F.coalesce("comp", "id").alias("comp"))
+    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    apart = known.join(open_keys, "key", "left_semi").join(classes.drop("id"), "name")
+    apart = write_table(apart.join(prospects(apart), ["key", "id"], "left_semi"), "apart")
+    full = sets.select("name", "shingles").dropDuplicates(["name"])
+    links = links.unionByName(write_table(cross_links(apart.join(full, "name")), "verified"))
     comp = components(links)
     named = classes.select("name", "id").join(comp, classes["id"] == comp["node"], "left").select("name", F.coalesce("comp", "id").alias("component_id"))
     null_id = F.col("doc_id").isNull()
