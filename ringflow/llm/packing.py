@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,13 +103,13 @@ class WordBpe(dict):
 
 
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and a handle ``uid`` that no two rows of one table share but by chance."""
+    """doc_id, piece, start, length, ids_crc32 and a handle ``uid`` that no two rows share, repeated ones neither; to be written once and read from there."""
     path = path or tokenizer_path()
 
     def make():
         bpe = WordBpe(path)
         end = np.array([END_ID], "<u4").tobytes()
-        seen = 0
+        first, seen = TaskContext.get().partitionId() << 33, 0
 
         def work(rows: dict) -> dict:
             nonlocal seen
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 for k, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                     part = ids[at : at + 4 * CAPACITY]
                     seen += 1
-                    out["uid"].append(xxhash.xxh3_64_intdigest(f"{doc_id}/{k}/{seen}".encode() + part[:64]) - (1 << 63))
+                    out["uid"].append(first + seen)
                     out["doc_id"].append(doc_id)
                     out["piece"].append(k)
                     out["start"].append(at // 4)
