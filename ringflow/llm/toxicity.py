@@ -24,10 +24,12 @@ TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 3000
 TRAIN_CHARS = 15_000_000
 #: Sentences of the sample that a feature must occur in.
-MIN_SENTENCES = 3
+MIN_SENTENCES = 8
+#: Pull of every weight towards zero.
+RIDGE = 2e-4
 #: A sentence ends at . ! ? or a line's end; one of more words is judged in pieces of this many.
 SENTENCE_WORDS = 40
-EPOCHS = 90
+EPOCHS = 150
 THRESHOLD = 0.3
 WORD_CACHE = 1 << 20
 
@@ -123,7 +125,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> NoisyOrMod
         pull = np.where(y == 1, -q / np.maximum(1 - q, 1e-9), 1.0) * share
         gz = pull[sentence_doc] * p
         g_word = np.bincount(tokens, weights=gz[token_sentence], minlength=n_words)
-        g = np.bincount(feat, weights=g_word[feat_word], minlength=len(w)) + 1e-6 * w
+        g = np.bincount(feat, weights=g_word[feat_word], minlength=len(w)) + RIDGE * w
         gb = gz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
