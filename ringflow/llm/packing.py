@@ -168,6 +168,30 @@ class Packer:
         key = {i: s * (1 + spread * (self.rng.random() - 0.5)) for i, s in enumerate(self.sizes)}
         return self.best_fit([], sorted(key, key=lambda i: (-key[i], i)))
 
+    def exchange(self, bins: list[list[int]], items: list[int]) -> tuple[list[list[int]], list[int]]:
+        """Swap displaced items for smaller ones (or pairs) that leave a bin fuller; what is displaced gets smaller and fits more easily."""
+        sizes = self.sizes
+        out, waiting = [], sorted(items, key=sizes.__getitem__)
+        keys = [sizes[i] for i in waiting]
+        for b in bins:
+            room = self.capacity - self.load(b)
+            if room and waiting:
+                swaps = [(j,) for j in b] + [(j, k) for x, j in enumerate(b) for k in b[x + 1 :]]
+                self.rng.shuffle(swaps)
+                for swap in swaps:
+                    freed = sum(sizes[j] for j in swap)
+                    at = bisect_left(keys, freed + room + 1) - 1  # the largest that fits in place of ``swap``
+                    if at >= 0 and keys[at] > freed:
+                        b = [j for j in b if j not in swap] + [waiting.pop(at)]
+                        keys.pop(at)
+                        for j in swap:
+                            k = bisect_left(keys, sizes[j])
+                            keys.insert(k, sizes[j])
+                            waiting.insert(k, j)
+                        break
+            out.append(b)
+        return out, sorted(waiting, key=lambda i: (-sizes[i], i))
+
     def crossover(self, one: list[list[int]], two: list[list[int]]) -> list[list[int]]:
         """Well-filled bins of ``two`` go into ``one`` whole; bins of ``one`` that share an item with them are dissolved."""
         full = sorted(two, key=self.load, reverse=True)[: max(1, len(two) // 2)]
@@ -179,15 +203,14 @@ class Packer:
                 kept.append(b)
             else:
                 displaced += [i for i in b if i not in taken]
-        displaced.sort(key=lambda i: (-self.sizes[i], i))
-        return self.best_fit(kept + injected, displaced)
+        return self.best_fit(*self.exchange(kept + injected, displaced))
 
     def mutate(self, bins: list[list[int]]) -> list[list[int]]:
         """Dissolve the emptiest bins and a few others, and refit what they held."""
         order = sorted(range(len(bins)), key=lambda k: self.load(bins[k]))
         gone = set(order[: max(1, len(bins) // 50)]) | {self.rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 50))}
-        items = sorted((i for k in gone for i in bins[k]), key=lambda i: (-self.sizes[i], i))
-        return self.best_fit([b for k, b in enumerate(bins) if k not in gone], items)
+        items = [i for k in gone for i in bins[k]]
+        return self.best_fit(*self.exchange([b for k, b in enumerate(bins) if k not in gone], items))
 
     def evolve(self, elites: list[list[list[int]]], generations: int, population: int) -> list[list[list[int]]]:
         if not self.sizes:
