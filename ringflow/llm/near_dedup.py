@@ -41,6 +41,8 @@ FLOOR = 0.53
 TILE = 4096
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Pairs of one leader that are verified in one place.
+LEADER_PAIRS = 512
 #: Shingles whose permutations are held at once.
 TOGETHER = 1 << 16
 
@@ -125,9 +127,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "doc_id long, n long, name binary, sig binary, bands array<long>")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``: broadcast if their number is below the bound, else by a shuffle."""
-    return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def hinted(small: DataFrame) -> DataFrame:
+    """``small`` (a few longs a row) marked for broadcast if its rows are below the bound; otherwise the join shuffles."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
         return work
 
-    return map_rows(with_ids(docs, ids, ids.count()), make, "doc_id long, name binary, shingles binary")
+    return map_rows(docs.join(hinted(ids), "doc_id", "left_semi"), make, "doc_id long, name binary, shingles binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -154,19 +156,33 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach PERCENT."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b), written, whose full sets reach PERCENT; every set travels once, to its leader ``a``.
+
+    A leader of many pairs is met in several places, at LEADER_PAIRS each.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PAIRS).cast("int").alias("k"))
+    lead = sizes.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("member"))
+    rest = pairs.join(sizes, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.lit(1).alias("member"))
+    roles = write_table(lead.unionByName(rest), "roles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, leaders = None, []
         for batch in batches:
-            a, b, keep = batch.column("a").to_numpy(), batch.column("b").to_numpy(), np.zeros(batch.num_rows, bool)
-            sa, sb = batch.column("sa"), batch.column("sb")
-            for i in range(batch.num_rows):
-                keep[i] = linked(np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+            out_a, out_b = [], []
+            full = batch.column("shingles")
+            for i, (a, salt, member, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "member", "id")), strict=True)):
+                if (a, salt) != where:
+                    where, leaders = (a, salt), []
+                own = np.frombuffer(full[i].as_buffer(), np.uint64)
+                if not member:
+                    leaders.append(own)
+                elif any(linked(lead, own) for lead in leaders):
+                    out_a.append(a)
+                    out_b.append(x)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    met = sets.select(F.col("doc_id").alias("id"), "shingles").join(hinted(roles), "id").select("a", "salt", "member", "id", "shingles")
+    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(check, "a long, b long")
 
 
 class Bucket:
@@ -222,18 +238,22 @@ def _then_none(items):
     yield None
 
 
+def in_tiles(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` (key, id, ...) of the buckets in ``sizes`` (key, n), with ``tiles``: one above TILE members is cut, and every two tiles meet."""
+    k = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id"), k).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), k - 1), lambda t: F.least(t, own) * k + F.greatest(t, own))
+    return rows.join(sizes, "key").withColumn("tiles", F.explode(meets)).drop("n")
+
+
 def by_bucket(rows: DataFrame) -> DataFrame:
-    """``rows`` sorted by bucket; one above TILE members is cut in tiles, and every two tiles meet."""
-    tiles = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.least(t, own) * F.col("k") + F.greatest(t, own))
-    return rows.join(tiles, "key").withColumn("tiles", F.explode(meets)).drop("k").repartition("key", "tiles").sortWithinPartitions("key", "tiles", "id")
+    return rows.repartition("key", "tiles").sortWithinPartitions("key", "tiles", "id")
 
 
 def prospects(rows: DataFrame) -> DataFrame:
-    """(key, id) of the members that have a partner to be verified in that bucket, judged by signatures."""
+    """(key, tiles, id) of the members that have a partner to be verified there, judged by signatures."""
 
-    def work(bucket: Bucket, _) -> pa.RecordBatch | None:
+    def work(bucket: Bucket, part: pa.Table) -> pa.RecordBatch | None:
         needed: set[int] = set()
         for i in bucket.few:
             other = bucket.partners(i)
@@ -242,9 +262,10 @@ def prospects(rows: DataFrame) -> DataFrame:
                 needed.update(other.tolist())
         if not needed:
             return None
-        return pa.RecordBatch.from_pydict({"key": pa.array([bucket.key] * len(needed), pa.int64()), "id": pa.array(bucket.ids[sorted(needed)], pa.int64())})
+        n = len(needed)
+        return pa.RecordBatch.from_pydict({"key": pa.array([bucket.key] * n, pa.int64()), "tiles": pa.array([part.column("tiles")[0].as_py()] * n, pa.int32()), "id": pa.array(bucket.ids[sorted(needed)], pa.int64())})
 
-    return by_bucket(rows).mapInArrow(lambda batches: _buckets(batches, work), "key long, id long").distinct()
+    return by_bucket(rows).mapInArrow(lambda batches: _buckets(batches, work), "key long, tiles int, id long")
 
 
 def cross_links(rows: DataFrame) -> DataFrame:
@@ -282,7 +303,7 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     live = rows.where("n > 0 AND doc_id IS NOT NULL")
     # classes of equal sets; the minimum is taken before the shuffle, so a hot class is one row a task
     classes = write_table(live.groupBy("name").agg(F.min(F.struct("doc_id", "n", "sig", "bands")).alias("x")).select("name", F.col("x.doc_id").alias("id"), "x.n", "x.sig", "x.bands"), "classes")
-    members = classes.select("id", "name", F.explode("bands").alias("key"))
+    members = classes.select("id", F.explode("bands").alias("key"))
     buckets = write_table(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader"), "buckets")
     crowded = write_table(members.join(buckets, "key"), "members")
     # first links: every class with the leader it shares most bands with
@@ -297,12 +318,14 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = write_table(verify(star, sets), "verified")
     # what the leaders left apart: pairs of different components in one bucket
     comp = components(links)
-    known = members.join(buckets.select("key"), "key", "left_semi").join(comp, members["id"] == comp["node"], "left").select("key", "id", "name", F.coalesce("comp", "id").alias("comp"))
-    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    apart = known.join(open_keys, "key", "left_semi").join(classes.drop("id"), "name")
-    apart = write_table(apart.join(prospects(apart), ["key", "id"], "left_semi"), "apart")
-    full = sets.select("name", "shingles").dropDuplicates(["name"])
-    links = links.unionByName(write_table(cross_links(apart.join(full, "name")), "verified"))
+    known = write_table(crowded.join(hinted(comp), crowded["id"] == comp["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "known")
+    sizes = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    apart = write_table(in_tiles(known, sizes), "apart")
+    sketched = classes.join(hinted(apart.select("id").distinct()), "id", "left_semi")
+    near = write_table(prospects(apart.join(sketched, "id")), "near")
+    met = apart.join(near, ["key", "tiles", "id"], "left_semi")
+    full = classes.join(hinted(near.select("id").distinct()), "id", "left_semi").join(sets.select("name", "shingles").dropDuplicates(["name"]), "name")
+    links = links.unionByName(write_table(cross_links(met.join(full, "id")), "verified"))
     comp = components(links)
     named = classes.select("name", "id").join(comp, classes["id"] == comp["node"], "left").select("name", F.coalesce("comp", "id").alias("component_id"))
     null_id = F.col("doc_id").isNull()
@@ -321,4 +344,4 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (columns doc_id, text and any others) with one id of each group; rows without id stay."""
     gone = write_table(group_near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hinted(gone), "doc_id", "left_anti").select(*docs.columns)
