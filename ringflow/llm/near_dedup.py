@@ -59,7 +59,7 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     """Signatures [set, place] as integers step * 2^32 + random 32 bits; step by step for all shingles of all sets at once."""
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int64)
     h = np.full((len(sets), places), np.iinfo(np.int64).max, np.int64)
     element = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), size)

@@ -97,6 +97,13 @@ def test_near_dedup_chains(spark):
     assert 1 < len(set(expected.values())) < 150
 
 
+def test_slices_without_any_words():
+    assert list(near_dedup.sketch(["", None], WordHashes())) == [(0, None, None, None)] * 2
+    full = "a b c " * (near_dedup.TOGETHER // 2)
+    distinct = " ".join(f"w{i}" for i in range(near_dedup.TOGETHER + 10))
+    assert [n for n, *_ in near_dedup.sketch([full, distinct], WordHashes())] == [3, near_dedup.TOGETHER + 6]
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     errors = []
