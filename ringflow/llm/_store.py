@@ -1,64 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables in the folder that driver and executors share (spark.checkpoint.dir)."""
 
-``spark.checkpoint.dir`` is read from the session; only where it is unset (a
-single machine, tests) is a temporary folder used. Every table is Parquet, so a
-lost executor costs no more than re-reading a file.
-"""
+from ..functions.tables import drop_table, write_table
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="ringflow-"))
-    return _LOCAL[0]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the table read back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ringflow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _WRITTEN:
-        atexit.register(clear_tables)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._ringflow_path = path
-    return out
-
-
-def drop_table(table: DataFrame) -> None:
-    """Delete a table of ``write_table`` that nothing will read again."""
-    path = table._ringflow_path
-    _delete(table.sparkSession, path)
-    _WRITTEN.remove(path)
-
-
-def clear_tables() -> None:
-    """Delete what this process has written (also run at exit)."""
-    spark = SparkSession.getActiveSession()
-    while _WRITTEN:
-        path = _WRITTEN.pop()
-        try:
-            if spark is not None:
-                _delete(spark, path)
-        except Exception:  # the session may already be gone; the cluster's own clean-up follows
-            return
+__all__ = ["drop_table", "write_table"]
