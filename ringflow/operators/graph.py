@@ -70,17 +70,18 @@ def without_loops(edges: DataFrame) -> DataFrame:
 
 def trim(edges: DataFrame) -> DataFrame:
     """Peel until every src is some edge's dst and every dst some edge's src."""
-    table, n = None, -1
-    while True:
-        base = edges if table is None else table
-        srcs, dsts = base.select(F.col("src").alias("_s")).distinct(), base.select(F.col("dst").alias("_d")).distinct()
-        nxt = write_table(base.join(srcs, F.col("dst") == F.col("_s"), "left_semi").join(dsts, F.col("src") == F.col("_d"), "left_semi"), "trim")
-        if table is not None:
-            drop_table(table)
-        table, m = nxt, nxt.count()
-        if m in (0, n):
-            return table
+    table = write_table(edges, "trim")  # read three times in a round
+    n = table.count()
+    while n:
+        srcs, dsts = table.select(F.col("src").alias("_s")).distinct(), table.select(F.col("dst").alias("_d")).distinct()
+        nxt = write_table(table.join(srcs, F.col("dst") == F.col("_s"), "left_semi").join(dsts, F.col("src") == F.col("_d"), "left_semi"), "trim")
+        m = nxt.count()
+        drop_table(table)
+        table = nxt
+        if m == n:
+            break
         n = m
+    return table
 
 
 def chain_peel(edges: DataFrame) -> DataFrame:
