@@ -100,7 +100,11 @@ class Level:
         return np.unique(choose(h, self.window - self.length + 1)[alive]), h
 
     def rows(self, docs: list[tuple[int, np.ndarray, np.ndarray | None]]) -> Iterator[tuple[int, bytes, bytes]]:
-        """(bucket, keys, data) for documents given as key, word hashes, repeated positions."""
+        """(bucket, keys, data) for documents given as key, word hashes, repeated positions.
+
+        data: hashes (two arrays), then document and position of each, followed by
+        those of windows that are already known to repeat.
+        """
         hashes, second, owner, at, keys = [], [], [], [], []
         for key, words, repeated in docs:
             pos, h = self.positions(words, repeated)
@@ -115,14 +119,23 @@ class Level:
             return
         h, own, pos, keys = np.concatenate(hashes), np.concatenate(owner), np.concatenate(at), np.array(keys, "<u8")
         more = np.concatenate(second) if self.last else None
-        bucket = (((h >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        # equal windows of one slice: all of them are known to repeat, and one goes on to meet other slices
+        order = np.lexsort((more, h)) if self.last else np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        if self.last:
+            same &= more[order][1:] == more[order][:-1]
+        sent = np.sort(order[np.r_[True, ~same]])
+        known = np.sort(order[np.r_[False, same] | np.r_[same, False]])
+        bucket = (((h[sent] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
+        shares = np.linspace(0, len(known), self.buckets + 1).astype(int)  # they need no bucket of their own
         for b in range(self.buckets):
-            pick = order[cuts[b] : cuts[b + 1]]
-            if len(pick):
-                used, local = np.unique(own[pick], return_inverse=True)
-                yield b, keys[used].tobytes(), _squeeze(h[pick].astype("<u8"), more[pick] if self.last else np.empty(0, "<u4"), local.astype("<u4"), pos[pick])
+            pick, told = sent[by[cuts[b] : cuts[b + 1]]], known[shares[b] : shares[b + 1]]
+            if len(pick) or len(told):
+                every = np.concatenate([pick, told])
+                used, local = np.unique(own[every], return_inverse=True)
+                yield b, keys[used].tobytes(), _squeeze(h[pick].astype("<u8"), more[pick] if self.last else np.empty(0, "<u4"), local.astype("<u4"), pos[every])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -149,13 +162,15 @@ def repeats(candidates: DataFrame, last: bool, parts: int) -> DataFrame:
     """Positions whose window occurs more than once, by part (key modulo ``parts``)."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, more, key, pos = [], [], [], []
+        h, more, key, pos, told = [], [], [], [], []
         for keys, data in zip(table.column("keys").to_pylist(), table.column("data").to_pylist(), strict=True):
             a, b, own, at = _unsqueeze(data, "<u8", "<u4", "<u4", "<u4")
+            own = np.frombuffer(keys, "<u8")[own]
             h.append(a)
             more.append(b)
-            key.append(np.frombuffer(keys, "<u8")[own])
-            pos.append(at)
+            key.append(own[: len(a)])
+            pos.append(at[: len(a)])
+            told.append((own[len(a) :], at[len(a) :]))
         h, key, pos = np.concatenate(h), np.concatenate(key), np.concatenate(pos)
         if last:
             more = np.concatenate(more)
@@ -164,8 +179,8 @@ def repeats(candidates: DataFrame, last: bool, parts: int) -> DataFrame:
         else:
             order = np.argsort(h)
             same = h[order][1:] == h[order][:-1]
-        again = order[np.r_[False, same] | np.r_[same, False]]
-        key, pos = key[again], pos[again]
+        again = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+        key, pos = np.concatenate([key[again], *[k for k, _ in told]]), np.concatenate([pos[again], *[p for _, p in told]])
         part = (key % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((pos, key, part))
         key, pos, part = key[order], pos[order], part[order]
