@@ -99,9 +99,9 @@ class CrossParser:
                 count = np.zeros(block.shape[1], np.int32)
                 for c in block:
                     nxt = table[state * ALPHABET + c]
-                    fresh = (nxt == 0) & (c != 0)
+                    fresh = ((nxt == 0) | (state == 0)) & (c != 0)
                     count += fresh
-                    # a phrase that can't go on gives way to one that starts with this character
+                    # at a passage's start, after a character the automaton lacks, or where a phrase can't go on, one starts here
                     state = np.where(fresh, table[c], nxt)
                 out[:, j] += np.bincount(owner[at : at + LANES], weights=count, minlength=len(texts)).astype(np.int64)
         return out, chars
