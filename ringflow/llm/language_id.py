@@ -114,9 +114,10 @@ def has_letter(text: str) -> bool:
 def training_samples(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, str]:
     """lang -> sample of text; at most ``docs_per_lang`` passages and ``chars`` characters for each language."""
     each = max(1, chars // docs_per_lang)
+    at = 1 + F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - each + 1, F.lit(1)))  # a passage from anywhere in its text
     rows = (
         labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("lang", F.struct(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, each).alias("piece")).alias("x"))
+        .select("lang", F.struct(F.xxhash64("doc_id", "text").alias("h"), F.substr("text", at.cast("int"), F.lit(each)).alias("piece")).alias("x"))
         .groupBy("lang", (F.pmod(F.col("x.h"), F.lit(docs_per_lang))).alias("slot"))
         .agg(F.min("x").alias("x"))
         .select("lang", "slot", "x.piece")
