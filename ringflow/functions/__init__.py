@@ -1 +1 @@
-"""ringflow.functions"""
+"""Expressions, order over ranges, tables between rounds."""

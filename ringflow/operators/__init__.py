@@ -1 +1 @@
-"""ringflow.operators"""
+"""Operators over edge tables: graphs, cycles, centrality."""

@@ -1 +1 @@
-"""ringflow.sources"""
+"""Where edges come from and where results go."""

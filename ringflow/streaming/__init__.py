@@ -1 +1 @@
-"""ringflow.streaming"""
+"""No operator of the engine works on a stream; results of cycles and centrality depend on the whole graph."""
