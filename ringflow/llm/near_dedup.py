@@ -41,6 +41,8 @@ FLOOR = 0.53
 TILE = 4096
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: The same for pairs of an id and a text's mark, about 100 bytes each.
+BROADCAST_KEYS = 500_000
 #: Pairs of one leader that are verified in one place.
 LEADER_PAIRS = 512
 #: Shingles whose permutations are held at once.
@@ -120,31 +122,30 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         def work(rows: dict) -> dict:
             n, name, sig, bands = zip(*sketch(rows["text"], hashes), strict=True)
-            return {"doc_id": rows["doc_id"], "n": n, "name": name, "sig": sig, "bands": bands}
+            return {"doc_id": rows["doc_id"], "mark": rows["mark"], "n": n, "name": name, "sig": sig, "bands": bands}
 
         return work
 
-    return map_rows(docs, make, "doc_id long, n long, name binary, sig binary, bands array<long>")
+    return map_rows(docs, make, "doc_id long, mark long, n long, name binary, sig binary, bands array<long>")
 
 
-def hinted(small: DataFrame) -> DataFrame:
+def hinted(small: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """``small`` (a few longs a row) marked for broadcast if its rows are below the bound; otherwise the join shuffles."""
-    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+    return F.broadcast(small) if small.count() <= most else small
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, name, shingles) of the given documents; sorted 64-bit hashes."""
+def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, shingles) of the given classes (id, doc_id, mark), from a document of each; sorted 64-bit hashes."""
 
     def make():
         hashes = WordHashes()
 
         def work(rows: dict) -> dict:
-            sets = [shingle_set(hashes.of(utf8(t).lower().split())).tobytes() for t in rows["text"]]
-            return {"doc_id": rows["doc_id"], "name": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets}
+            return {"id": rows["id"], "shingles": [shingle_set(hashes.of(utf8(t).lower().split())).tobytes() for t in rows["text"]]}
 
         return work
 
-    return map_rows(docs.join(hinted(ids), "doc_id", "left_semi"), make, "doc_id long, name binary, shingles binary")
+    return map_rows(docs.join(hinted(classes, BROADCAST_KEYS), ["doc_id", "mark"]).select("id", "text"), make, "id long, shingles binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -181,7 +182,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out_b.append(x)
             yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    met = sets.select(F.col("doc_id").alias("id"), "shingles").join(hinted(roles), "id").select("a", "salt", "member", "id", "shingles")
+    met = sets.join(hinted(roles), "id").select("a", "salt", "member", "id", "shingles")
     return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(check, "a long, b long")
 
 
@@ -286,23 +287,15 @@ def cross_links(rows: DataFrame) -> DataFrame:
     return by_bucket(rows).mapInArrow(lambda batches: _buckets(batches, work), "a long, b long")
 
 
-def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Words are runs of characters other than ASCII space and \\t to \\r, with A-Z in
-    lower case. A text with fewer words than a shingle is one shingle; a null or
-    empty text has none and is linked with nothing. component_id is the smallest
-    id reachable by links, the row's own included; kept says that it is the row's
-    own. A row without id takes no part: component_id null, kept true. Rows that
-    repeat an id count as one document if they repeat its text too; with other
-    texts each follows its own. Other columns are ignored; an empty table gives
-    an empty result.
-    """
-    d = id_text(docs, id_col, text_col)
-    rows = write_table(sketches(d), "sketches")
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``group_near_duplicates``, with ``mark``, the hash of the text, and ``again``: a row not kept that repeats id and text of the one that is."""
+    d = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    rows = write_table(sketches(d).withColumn("row", F.monotonically_increasing_id()), "sketches")
     live = rows.where("n > 0 AND doc_id IS NOT NULL")
-    # classes of equal sets; the minimum is taken before the shuffle, so a hot class is one row a task
-    classes = write_table(live.groupBy("name").agg(F.min(F.struct("doc_id", "n", "sig", "bands")).alias("x")).select("name", F.col("x.doc_id").alias("id"), "x.n", "x.sig", "x.bands"), "classes")
+    # classes of equal sets, numbered, since an id may stand for several texts; the minimum is taken before the shuffle, so a hot class is one row a task
+    classes = live.groupBy("name").agg(F.min(F.struct("doc_id", "row", "mark", "n", "sig", "bands")).alias("x"))
+    classes = write_table(classes.select("name", F.monotonically_increasing_id().alias("id"), "x.doc_id", "x.row", "x.mark", "x.n", "x.sig", "x.bands"), "classes")
+    sketch_of = classes.select("id", "n", "sig", "bands")
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = write_table(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader"), "buckets")
     crowded = write_table(members.join(buckets, "key"), "members")
@@ -313,35 +306,67 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select(F.col("leader").alias("a"), F.col("id").alias("b"))
     )
     star = write_table(star, "pairs")
-    ids = crowded.select(F.col("id").alias("doc_id")).distinct()
-    sets = write_table(full_sets(d.where("doc_id IS NOT NULL"), ids).distinct(), "sets")
+    needed = classes.select("id", "doc_id", "mark").join(hinted(crowded.select("id").distinct()), "id", "left_semi")
+    sets = write_table(full_sets(d.where("doc_id IS NOT NULL"), needed).distinct(), "sets")
     links = write_table(verify(star, sets), "verified")
     # what the leaders left apart: pairs of different components in one bucket
     comp = components(links)
     known = write_table(crowded.join(hinted(comp), crowded["id"] == comp["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "known")
     sizes = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     apart = write_table(in_tiles(known, sizes), "apart")
-    sketched = classes.join(hinted(apart.select("id").distinct()), "id", "left_semi")
+    sketched = sketch_of.join(hinted(apart.select("id").distinct()), "id", "left_semi")
     near = write_table(prospects(apart.join(sketched, "id")), "near")
     met = apart.join(near, ["key", "tiles", "id"], "left_semi")
-    full = classes.join(hinted(near.select("id").distinct()), "id", "left_semi").join(sets.select("name", "shingles").dropDuplicates(["name"]), "name")
+    full = sketch_of.join(hinted(near.select("id").distinct()), "id", "left_semi").join(sets, "id")
     links = links.unionByName(write_table(cross_links(met.join(full, "id")), "verified"))
     comp = components(links)
-    named = classes.select("name", "id").join(comp, classes["id"] == comp["node"], "left").select("name", F.coalesce("comp", "id").alias("component_id"))
+    # the row that stays for each group of several classes: that of the smallest id
+    owner = classes.select("id", "name", "doc_id", "row", "mark")
+    grouped = owner.join(hinted(comp), owner["id"] == comp["node"])
+    first = write_table(grouped.groupBy("comp").agg(F.min(F.struct("doc_id", "name", "row", "mark")).alias("x")).select("comp", "x.doc_id", "x.row", "x.mark"), "first")
+    of_node = comp.join(hinted(first, BROADCAST_KEYS), "comp").select("node", F.col("doc_id").alias("f_id"), F.col("row").alias("f_row"), F.col("mark").alias("f_mark"))
+    named = owner.join(of_node, owner["id"] == of_node["node"], "left").select(
+        "name", F.coalesce("f_id", "doc_id").alias("component_id"), F.coalesce("f_row", "row").alias("stays"), F.coalesce("f_mark", "mark").alias("stays_mark")
+    )
+    # wordless texts have no class: only rows that repeat id and text count as one
+    bare = rows.where("n = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.min("row").alias("bare_row"), F.count("*").alias("c")).where("c > 1")
+    bare = write_table(bare.select(F.col("doc_id").alias("bare_id"), F.col("mark").alias("bare_mark"), "bare_row"), "bare")
+    own = rows.select("doc_id", "mark", "n", "name", "row").join(named, "name", "left")
+    own = own.join(hinted(bare, BROADCAST_KEYS), (F.col("n") == 0) & (F.col("doc_id") == F.col("bare_id")) & (F.col("mark") == F.col("bare_mark")), "left")
     null_id = F.col("doc_id").isNull()
-    own = rows.select("doc_id", "n", "name")
-    return (
-        own.join(named, "name", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(~null_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = own.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(~null_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        (null_id | (F.col("row") == F.coalesce("stays", "bare_row", "row"))).alias("kept"),
+        "mark",
+        F.coalesce("stays_mark", "mark").alias("stays_mark"),
     )
+    return out.withColumn("again", ~F.col("kept") & (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("stays_mark"))).drop("stays_mark")
+
+
+def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Words are runs of characters other than ASCII space and \\t to \\r, with A-Z in
+    lower case. A text with fewer words than a shingle is one shingle; a null or
+    empty text has none and is linked with nothing. component_id is the smallest
+    id reachable by links, the row's own included; kept holds for one row of each
+    group, one of that id. A row without id takes no part: component_id null, kept
+    true. Rows that repeat an id count as one document if they repeat its text too,
+    and one of them can be kept; with other texts each follows its own. Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    return _grouped(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (columns doc_id, text and any others) with one id of each group; rows without id stay."""
-    gone = write_table(group_near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(hinted(gone), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` (columns doc_id, text and any others) with one row of each group; rows without id stay."""
+    dropped = write_table(_grouped(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "again").distinct(), "gone")
+    same = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_mark"))
+    gone, again = dropped.where("NOT again"), dropped.where("again")
+    if not again.limit(1).count():
+        return docs.join(hinted(gone, BROADCAST_KEYS), same, "left_anti").select(*docs.columns)
+    # an id and text that several rows repeat: one of them
+    once = docs.join(hinted(again, BROADCAST_KEYS), same, "left_semi").withColumn("_mark", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_mark"])
+    return docs.join(hinted(dropped, BROADCAST_KEYS), same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
