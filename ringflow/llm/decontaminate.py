@@ -5,7 +5,8 @@ masks are hashed at every position of benchmark items and of documents; equal
 hashes are joined, and around every hit the item is laid over the document at
 that shift and compared token by token, so substituted tokens, wherever they
 fall, do not hide a copy. An item counts as leaked if at least MIN_OVERLAP of
-its tokens agree, summed over shifts, each token once.
+its tokens agree, summed over shifts, each token once, or if a passage of it
+does: PASSAGE tokens in a row, PASSAGE_AGREED of which agree at one shift.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ._text import WordHashes, filter_rows, id_text, map_rows, mix
 SEEDS = ("11111", "1101101", "11001011", "101100101", "1010011001")
 #: Share of an item's tokens that must stand in the document, in order at one shift or over several.
 MIN_OVERLAP = 0.6
+#: Tokens of a passage, and how many of them must agree; a passage leaks its item however long that is.
+PASSAGE, PASSAGE_AGREED = 13, 11
 #: Shifts compared for an item end where fewer tokens than this agree in a stretch of the item's length.
 MIN_RUN = 5
 #: Benchmark items handled in one pass over the documents; more of them take further passes.
@@ -50,6 +53,15 @@ def seed_hashes(h: np.ndarray, seed: str) -> np.ndarray:
     return mix(out)
 
 
+def passages(same: np.ndarray) -> list[tuple[int, int]]:
+    """First and last passage (start, end) of one shift's agreement that reach PASSAGE_AGREED."""
+    if len(same) < PASSAGE:
+        return []
+    total = np.concatenate([[0], np.cumsum(same)])
+    at = np.flatnonzero(total[PASSAGE:] - total[:-PASSAGE] >= PASSAGE_AGREED)
+    return [(int(p), int(p) + PASSAGE) for p in (at[0], at[-1])] if len(at) else []
+
+
 class SeedIndex:
     """Seed hashes of a bounded chunk of benchmark items, sorted, with a bitmap in front."""
 
@@ -128,15 +140,24 @@ class SeedIndex:
             best = None
             for run in runs:
                 agreed, lo, hi = np.zeros(m, bool), None, 0
+                first, last = None, 0  # of the passages
                 for s in run:
                     a, b = max(0, -s), min(m, len(h) - s)
                     same = item[a:b] == h[a + s : b + s]
                     if same.sum() >= min(MIN_RUN, m):
                         agreed[a:b] |= same
                         lo, hi = min(a + s, lo if lo is not None else a + s), max(hi, b + s)
+                        for p, q in passages(same):
+                            first, last = min(a + s + p, first if first is not None else a + s + p), max(last, a + s + q)
                 share = agreed.mean()
-                if share >= min_overlap and (best is None or share > best[4]):
-                    best = (item_id, lo, hi, int(agreed.sum()), float(share))
+                if share >= min_overlap:
+                    leak = (item_id, lo, hi, int(agreed.sum()), float(share))
+                elif first is not None:
+                    leak = (item_id, first, last, int(agreed.sum()), float(share))
+                else:
+                    continue
+                if best is None or share > best[4]:
+                    best = leak
             if best:
                 found.append(best)
         for size in self.short_sizes:
@@ -167,7 +188,9 @@ def benchmark_chunks(benchmark: DataFrame, id_col: str, text_col: str):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start, end, agreed, share: one row for each document row and item leaked into it.
 
-    start and end are token positions of the best copy. The benchmark is taken in
+    start and end are token positions of the best copy, or of the passages where
+    less than ``min_overlap`` of the item agrees; agreed and share count the whole
+    item. The benchmark is taken in
     chunks of proven size, each broadcast for one pass over the documents; no
     document leaves its task. Null, empty or token-less texts and items match
     nothing; items of fewer tokens than a seed are met whole. Null ids stay null;
