@@ -21,7 +21,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 # the runs of [0-9a-f]+ that are long enough, without listing all others
 HEX = f"[0-9a-f]{{{MIN_HEX},}}"
 
-#: Weak parts. A weak secret is an assigned value of MIN_WEAK or more but fewer than MIN_ASSIGN characters.
+#: Weak parts. A weak secret is an assigned value of MIN_WEAK or more but fewer than MIN_ASSIGN characters; an identifier may be of any length.
 IDENTIFIER = r"""(?i)(user_?name|user_?id|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
 ENDPOINT = r"""(?i)(https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://([A-Za-z0-9+/_.@:?&=%-]+)"""
 MIN_WEAK = 6
@@ -79,7 +79,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
         F.filter("assigned", lambda s: s["size"] >= MIN_ASSIGN).alias("assign"),
         F.filter("access", lambda s: s["size"] >= MIN_ACCESS).alias("access"),
         "hex",
-        F.filter("identifier", lambda s: s["size"] >= MIN_WEAK).alias("identifier"),
+        "identifier",
         F.transform(F.filter("assigned", lambda s: (s["size"] >= MIN_WEAK) & (s["size"] < MIN_ASSIGN)), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["stop"].alias("stop"), s["size"].alias("size"))).alias("weak_secret"),
         "endpoint",
     )
