@@ -4,14 +4,16 @@ A solution is a set of bins (sequences). Crossover injects whole well-filled bin
 of one parent into the other, removes the bins that now hold duplicates, and
 best-fits the documents this displaces. Pieces are dealt into shards of bounded
 size; each shard is solved by several islands, separate tasks with populations of
-their own, whose elites migrate to the next island between epochs.
+their own, whose elites migrate to the next island between epochs. Sequences that a
+shard has filled are final; what lies in its other sequences goes to the next level
+and is dealt anew, until one shard holds the rest. So room isn't lost shard by shard.
 """
 
 from __future__ import annotations
 
 import json
 import random
-import unicodedata
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,9 +34,13 @@ END_ID = 1
 SHARD_PIECES = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 10
 POPULATION = 4
 ELITES = 2
+#: Share of a shard's pieces that may go on to the next level, those of the emptiest sequences first; so levels shrink.
+OPEN_SHARE = 0.25
+#: Longest white-space part and run of letters that the fast path takes, and longest part remembered.
+FAST_PART = 256
 
 
 def tokenizer_path() -> str:
@@ -43,14 +49,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters whose lower case, composition and class are the same in Python's tables and the tokenizer's (a test tries all).
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u024f]+")
+
+
 class WordBpe(dict):
     """The tokenizer's ids of texts, white-space part by white-space part, each part's remembered as bytes (little-endian u32).
 
     The file's normalizer (NFC, lower case) and pattern never reach across white
-    space, so parts can be encoded alone. Merges of this file come in the order of
-    their ids; then merging the adjacent pair of lowest id gives the same result,
-    which a byte-pair core does fast. What doesn't fit these rules - texts with
-    special tokens or control separators - goes to the tokenizer whole.
+    space, so parts can be encoded alone, and the tokenizer does so. Parts of ASCII
+    and precomposed Latin letters alone take a shorter way: merges of this file come
+    in the order of their ids, so merging the adjacent pair of lowest id gives the
+    same result, which a byte-pair core does fast. Texts with special tokens or
+    control separators go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -86,19 +97,25 @@ class WordBpe(dict):
         rest = [b for b in range(256) if b not in set(plain)]
         return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
+    def by_tokenizer(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __missing__(self, part: str) -> bytes:
+        if len(part) > FAST_PART:
+            return self.by_tokenizer(part)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        text = unicodedata.normalize("NFC", part)
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        encode = self.core.encode_single_piece
-        ids = [i for w in self.pattern.findall(text) for i in encode(w.encode() + b"\xff")]
-        out = self[part] = np.array(ids, "<u4").tobytes()
+        if self.core is not None and _PLAIN.fullmatch(part):
+            encode = self.core.encode_single_piece
+            out = np.array([i for w in self.pattern.findall(part.lower()) for i in encode(w.encode() + b"\xff")], "<u4").tobytes()
+        else:
+            out = self.by_tokenizer(part)
+        self[part] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.core is None or any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.by_tokenizer(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -142,9 +159,14 @@ class Packer:
     def load(self, b: list[int]) -> int:
         return sum(map(self.sizes.__getitem__, b))
 
-    def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
-        """Fewer bins first; among equals, fuller ones beside emptier ones (they can be emptied)."""
-        return -len(bins), sum((self.load(b) / self.capacity) ** 2 for b in bins)
+    def wasted(self, bins: list[list[int]]) -> int:
+        """Room in all bins but the emptiest; 0 is best, as then no other solution leaves less."""
+        room = [self.capacity - self.load(b) for b in bins]
+        return sum(room) - max(room)
+
+    def fitness(self, bins: list[list[int]]) -> tuple[int, int]:
+        """Fewer bins first; among equals, all room in one bin."""
+        return -len(bins), -self.wasted(bins)
 
     def best_fit(self, bins: list[list[int]], items: list[int]) -> list[list[int]]:
         """Put each item where it leaves the least room; a new bin if it fits nowhere."""
@@ -194,7 +216,8 @@ class Packer:
 
     def crossover(self, one: list[list[int]], two: list[list[int]]) -> list[list[int]]:
         """Well-filled bins of ``two`` go into ``one`` whole; bins of ``one`` that share an item with them are dissolved."""
-        full = sorted(two, key=self.load, reverse=True)[: max(1, len(two) // 2)]
+        own = set(map(frozenset, one))
+        full = [b for b in sorted(two, key=self.load, reverse=True)[: max(1, len(two) // 2)] if frozenset(b) not in own]
         injected = [b for b in full if self.rng.random() < 0.3] or full[:1]
         taken = {i for b in injected for i in b}
         kept, displaced = [], []
@@ -215,18 +238,29 @@ class Packer:
     def evolve(self, elites: list[list[list[int]]], generations: int, population: int) -> list[list[list[int]]]:
         if not self.sizes:
             return [[]]
+        done = lambda bins: len(bins) <= self.least and not self.wasted(bins)
         herd = list(elites) or [self.first(0.0)]
-        while len(herd) < population and -self.fitness(herd[0])[0] > self.least:
+        while len(herd) < population and not done(herd[0]):
             herd.append(self.first(0.1 * len(herd)))
         herd.sort(key=self.fitness, reverse=True)
         for _ in range(generations):
-            if len(herd[0]) <= self.least:
+            if done(herd[0]):
                 break
             one, two = self.rng.sample(herd, 2) if len(herd) > 1 else (herd[0], herd[0])
             herd += [self.crossover(one, two), self.mutate(herd[0])]
             herd = sorted(herd, key=self.fitness, reverse=True)[:population]
         return herd
 
+    def unfinished(self, bins: list[list[int]], share: float) -> list[int]:
+        """Numbers of the bins with room, the emptiest first, as far as they hold at most ``share`` of all items."""
+        out, held = [], 0
+        for room, k in sorted(((self.capacity - self.load(b), k) for k, b in enumerate(bins)), key=lambda x: (-x[0], x[1])):
+            held += len(bins[k])
+            if not room or held > share * len(self.sizes):
+                break
+            out.append(k)
+        return out
+
 
 def _encode(bins: list[list[int]], n: int) -> bytes:
     out = np.empty(n, "<u4")
@@ -243,29 +277,24 @@ def _decode(solution: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1)]
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
-    """uid, sequence_id, offset for a table (uid, length); no length is above ``capacity``.
-
-    A shard is chosen by hash of uid, so it is of bounded size whatever ids or
-    texts repeat. Shards lose less than one sequence each against packing all
-    together.
-    """
-    shards = max(1, -(-items.count() // shard_pieces))
-    dealt = items.select("uid", "length", F.pmod(F.xxhash64(F.col("uid"), F.lit("shard")), F.lit(shards)).alias("shard"))
+def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """uid, length, sequence_id, offset, open: one level's solution; ``open`` rows are to be dealt anew."""
+    dealt = items.select("uid", "length", F.pmod(F.xxhash64(F.col("uid"), F.lit(level)), F.lit(shards)).alias("shard"))
     problem = write_table(
         dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x")).select("shard", F.col("x.uid").alias("uid"), F.col("x.length").alias("length"), F.explode(F.array(*map(F.lit, range(islands)))).alias("island")),
         "shards",
     )
-    schema = "shard long, island int, bins int, elites array<binary>"
+    schema = "shard long, island int, bins int, wasted long, elites array<binary>"
 
     def epoch(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    packer = Packer(r["length"], capacity, hash((r["shard"], r["island"], number)))
+                    packer = Packer(r["length"], capacity, hash((level, r["shard"], r["island"], number)))
                     herd = packer.evolve([_decode(e) for e in r["elites"] or []], generations, POPULATION)
+                    bins, wasted = packer.fitness(herd[0])
                     yield pa.RecordBatch.from_pydict(
-                        {"shard": pa.array([r["shard"]], pa.int64()), "island": pa.array([r["island"]], pa.int32()), "bins": pa.array([len(herd[0])], pa.int32()), "elites": pa.array([[_encode(h, len(r["length"])) for h in herd[:ELITES]]], pa.list_(pa.binary()))}
+                        {"shard": pa.array([r["shard"]], pa.int64()), "island": pa.array([r["island"]], pa.int32()), "bins": pa.array([-bins], pa.int32()), "wasted": pa.array([-wasted], pa.int64()), "elites": pa.array([[_encode(h, len(r["length"])) for h in herd[:ELITES]]], pa.list_(pa.binary()))}
                     )
 
         return run
@@ -278,22 +307,47 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
         come = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elites").alias("come"))
         ready = problem.select("shard", "island", "length").join(own, ["shard", "island"]).join(come, ["shard", "island"])
         state = write_table(ready.select("shard", "island", "length", F.array_distinct(F.concat("own", "come")).alias("elites")).mapInArrow(epoch(number), schema), "islands")
-    best = state.groupBy("shard").agg(F.min(F.struct("bins", "island", "elites")).alias("b")).select("shard", F.col("b.elites")[0].alias("solution"))
+    best = state.groupBy("shard").agg(F.min(F.struct("bins", "wasted", "island", "elites")).alias("b")).select("shard", F.col("b.elites")[0].alias("solution"))
+    share = OPEN_SHARE if shards > 1 else 0.0
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                uid, seq, off = [], [], []
-                for k, b in enumerate(_decode(r["solution"])):
+                bins = _decode(r["solution"])
+                unfinished = set(Packer(r["length"], capacity, 0).unfinished(bins, share))
+                uid, size, seq, off, again = [], [], [], [], []
+                for k, b in enumerate(bins):
                     at = 0
                     for i in b:
                         uid.append(r["uid"][i])
-                        seq.append((r["shard"] << 24) + k)
+                        size.append(r["length"][i])
+                        seq.append((level << 56) + (r["shard"] << 24) + k)
                         off.append(at)
+                        again.append(k in unfinished)
                         at += r["length"][i]
-                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "sequence_id": pa.array(seq, pa.int64()), "offset": pa.array(off, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "length": pa.array(size, pa.int32()), "sequence_id": pa.array(seq, pa.int64()), "offset": pa.array(off, pa.int64()), "open": pa.array(again, pa.bool_())})
+
+    placed = problem.where("island = 0").select("shard", "uid", "length").join(best, "shard").mapInArrow(place, "uid long, length int, sequence_id long, offset long, open boolean")
+    return write_table(placed, "placed")
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
+    """uid, sequence_id, offset for a table (uid, length); no length is above ``capacity``.
 
-    return problem.where("island = 0").select("shard", "uid", "length").join(best, "shard").mapInArrow(place, "uid long, sequence_id long, offset long")
+    A shard is chosen by hash of uid, so it is of bounded size whatever ids or
+    texts repeat. Each level passes at most OPEN_SHARE of its pieces on, so there
+    are logarithmically many. ``uid`` repeats nowhere; lengths are from 1 to
+    ``capacity``; an empty table gives an empty result.
+    """
+    out, level, rest = None, 0, items
+    while True:
+        shards = max(1, -(-rest.count() // shard_pieces))
+        placed = _level(rest, shards, level, capacity, islands, epochs, generations)
+        final = placed.where("NOT open").select("uid", "sequence_id", "offset")
+        out = final if out is None else out.unionByName(final)
+        if shards == 1:
+            return out
+        rest, level = placed.where("open").select("uid", "length"), level + 1
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
