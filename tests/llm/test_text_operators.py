@@ -258,26 +258,6 @@ def test_language(spark):
     assert language_id.identify_languages(documents(spark, []), docs).count() == 0
 
 
-def test_automaton_knows_all_substrings():
-    rng = random.Random(6)
-    text = "".join(rng.choice("abc") for _ in range(60))
-    parser = language_id.CrossParser({"x": text, "y": "bca" * 9})
-
-    def needed(t, sample):
-        n = at = 0
-        while at < len(t):
-            k = 1
-            while at + k < len(t) and t[at : at + k + 1] in sample:
-                k += 1
-            n, at = n + 1, at + k
-        return n
-
-    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (1, 5, 100, 256)] + [""]
-    counts, chars = parser.phrases(texts)
-    assert chars.tolist() == [1, 5, 100, 256, 0]
-    assert counts.tolist() == [[needed(t, text), needed(t, "bca" * 9)] for t in texts]
-
-
 def test_toxicity(spark):
     large = SF.replace("0.01", "0.1")
     docs, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
