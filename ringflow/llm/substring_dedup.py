@@ -9,7 +9,9 @@ by content (the smallest hash), so equal windows choose alike and a fraction of
 all positions is sent.
 
 Hashes travel as compressed arrays, one row for each slice of text and bucket;
-what repeats comes back as positions, grouped as the texts are.
+what repeats comes back as positions, grouped as the texts are. Rows that repeat
+very often, id and text, are not grouped: all their windows are known to repeat, so
+each answers for itself, and one of them stands for all towards other texts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ WINDOW = 35
 BASE = 18
 #: Text bytes of a group, and of the texts behind a bucket, about.
 GROUP_BYTES = 24 << 20
+#: Repetitions of a row beyond which its copies aren't grouped, and how many such rows there may be (16 bytes each are broadcast).
+HOT_ROWS = 1000
+HOT_KEYS = 100_000
 
 CANDIDATES = "bucket int, keys binary, data binary"
 REPEATS = "part int, data binary"
@@ -128,14 +133,14 @@ class Level:
         known = np.sort(order[np.r_[False, same] | np.r_[same, False]])
         bucket = (((h[sent] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
-        shares = np.linspace(0, len(known), self.buckets + 1).astype(int)  # they need no bucket of their own
-        for b in range(self.buckets):
-            pick, told = sent[by[cuts[b] : cuts[b + 1]]], known[shares[b] : shares[b + 1]]
-            if len(pick) or len(told):
-                every = np.concatenate([pick, told])
-                used, local = np.unique(own[every], return_inverse=True)
-                yield b, keys[used].tobytes(), _squeeze(h[pick].astype("<u8"), more[pick] if self.last else np.empty(0, "<u4"), local.astype("<u4"), pos[every])
+        present, cuts = np.unique(bucket[by], return_index=True)
+        cuts = np.r_[cuts, len(by)]
+        shares = np.linspace(0, len(known), len(present) + 1).astype(int)  # they need no bucket of their own
+        for k, b in enumerate(present.tolist()):
+            pick, told = sent[by[cuts[k] : cuts[k + 1]]], known[shares[k] : shares[k + 1]]
+            every = np.concatenate([pick, told])
+            used, local = np.unique(own[every], return_inverse=True)
+            yield b, keys[used].tobytes(), _squeeze(h[pick].astype("<u8"), more[pick] if self.last else np.empty(0, "<u4"), local.astype("<u4"), pos[every])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -184,42 +189,45 @@ def repeats(candidates: DataFrame, last: bool, parts: int) -> DataFrame:
         part = (key % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((pos, key, part))
         key, pos, part = key[order], pos[order], part[order]
-        cuts = np.searchsorted(part, np.arange(parts + 1))
+        present, cuts = np.unique(part, return_index=True)
         out = []
-        for p in range(parts):
-            if cuts[p] < cuts[p + 1]:
-                k, n = np.unique(key[cuts[p] : cuts[p + 1]], return_counts=True)
-                out.append((p, _squeeze(k, n.astype("<u4"), pos[cuts[p] : cuts[p + 1]].astype("<u4"))))
+        for p, lo, hi in zip(present.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+            k, n = np.unique(key[lo:hi], return_counts=True)
+            out.append((p, _squeeze(k, n.astype("<u4"), pos[lo:hi].astype("<u4"))))
         return pa.Table.from_batches([_batch(out, _REPEAT_SCHEMA)])
 
     return candidates.groupBy("bucket").applyInArrow(run, REPEATS)
 
 
+#: Kinds of rows: without id, with one, and one that stands for many copies.
+BARE, NAMED, PROXY = 0, 1, 2
+
+
 def texts_by_part(docs: DataFrame, parts: int) -> DataFrame:
     """Compressed texts with their keys and ids, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                by: dict[int, list[tuple[int, int | None, bytes]]] = {}
-                for i, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                by: dict[int, list[tuple[int, int | None, bool, bytes]]] = {}
+                for i, proxy, t in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "proxy", "text")), strict=True):
                     t = utf8(t)
                     k = row_key(i, t)
-                    by.setdefault(k % parts, []).append((k, i, t))
+                    by.setdefault(k % parts, []).append((k, i, proxy, t))
                 out = []
                 for p, rows in by.items():
-                    known = np.array([i is not None for _, i, _ in rows], "u1")
-                    ids = np.array([i or 0 for _, i, _ in rows], "<i8")
+                    kind = np.array([PROXY if proxy else i is not None for _, i, proxy, _ in rows], "u1")
+                    ids = np.array([i or 0 for _, i, *_ in rows], "<i8")
                     sizes = np.array([len(t) for *_, t in rows], "<u8")
                     text = np.frombuffer(b"".join(t for *_, t in rows), "u1")
-                    out.append((p, np.array([k for k, *_ in rows], "<u8").tobytes(), _squeeze(known, ids, sizes, text)))
+                    out.append((p, np.array([k for k, *_ in rows], "<u8").tobytes(), _squeeze(kind, ids, sizes, text)))
                 yield _batch(out, _TEXT_SCHEMA)
 
     return docs.mapInArrow(run, TEXTS)
 
 
-def _documents(texts: pa.Table, found: pa.Table) -> Iterator[tuple[int, int | None, bytes, np.ndarray]]:
-    """key, id, text and repeated positions of each document of a part."""
+def _documents(texts: pa.Table, found: pa.Table) -> Iterator[tuple[int, int, int, bytes, np.ndarray]]:
+    """key, kind, id, text and repeated positions of each document of a part."""
     positions: dict[int, list[np.ndarray]] = {}
     for data in found.column("data").to_pylist():
         keys, n, pos = _unsqueeze(data, "<u8", "<u4", "<u4")
@@ -227,11 +235,11 @@ def _documents(texts: pa.Table, found: pa.Table) -> Iterator[tuple[int, int | No
             positions.setdefault(k, []).append(x)
     none = np.empty(0, "<u4")
     for keys, data in zip(texts.column("keys").to_pylist(), texts.column("data").to_pylist(), strict=True):
-        known, ids, sizes, text = _unsqueeze(data, "u1", "<i8", "<u8", "u1")
+        kinds, ids, sizes, text = _unsqueeze(data, "u1", "<i8", "<u8", "u1")
         at = 0
-        for k, ok, i, size in zip(np.frombuffer(keys, "<u8").tolist(), known.tolist(), ids.tolist(), sizes.tolist(), strict=True):
+        for k, kind, i, size in zip(np.frombuffer(keys, "<u8").tolist(), kinds.tolist(), ids.tolist(), sizes.tolist(), strict=True):
             x = positions.get(k)
-            yield k, i if ok else None, text[at : at + size].tobytes(), np.unique(np.concatenate(x)) if x else none
+            yield k, kind, i, text[at : at + size].tobytes(), np.unique(np.concatenate(x)) if x else none
             at += size
 
 
@@ -239,7 +247,7 @@ def next_candidates(texts: DataFrame, found: DataFrame, level: Level) -> DataFra
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes = WordHashes()
         rows, held, docs = [], 0, []
-        for k, _, text, repeated in _documents(left, right):
+        for k, _, _, text, repeated in _documents(left, right):
             if len(repeated):
                 docs.append((k, hashes.of(text.split()), repeated))
                 held += len(docs[-1][1])
@@ -253,32 +261,52 @@ def next_candidates(texts: DataFrame, found: DataFrame, level: Level) -> DataFra
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
+_RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _result(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+def _cut(doc_id: int | None, words: list[bytes], spans: list[dict[str, int]]) -> tuple:
+    """A row of the result: the words outside of ``spans``."""
+    kept, at = [], 0
+    for s in spans:
+        kept += words[at : s["start"]]
+        at = s["end"]
+    kept += words[at:]
+    return doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode(), spans
+
 
+def _result(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for _, doc_id, text, repeated in _documents(left, right):
-            words = text.split()
+        for _, kind, doc_id, text, repeated in _documents(left, right):
+            if kind == PROXY:
+                continue
             spans: list[dict[str, int]] = []
             if len(repeated):
                 gap = np.flatnonzero(np.diff(repeated.astype(np.int64)) > window)
                 starts, stops = repeated[np.r_[0, gap + 1]].tolist(), (repeated[np.r_[gap, len(repeated) - 1]] + window).tolist()
                 spans = [{"start": a, "end": b} for a, b in zip(starts, stops, strict=True)]
-            kept, at = [], 0
-            for s in spans:
-                kept += words[at : s["start"]]
-                at = s["end"]
-            kept += words[at:]
-            rows.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode(), spans))
-        return pa.Table.from_batches([_batch(rows, schema)])
+            rows.append(_cut(doc_id if kind == NAMED else None, text.split(), spans))
+        return pa.Table.from_batches([_batch(rows, _RESULT_SCHEMA)])
 
     return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _copies(docs: DataFrame, window: int) -> DataFrame:
+    """The result's rows for texts that other rows repeat as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    words = utf8(t).split()
+                    rows.append(_cut(i, words, [{"start": 0, "end": len(words)}] if len(words) >= window else []))
+                yield _batch(rows, _RESULT_SCHEMA)
+
+    return docs.mapInArrow(run, RESULT)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text, removed.
 
     A word is a run of characters other than ASCII space and \\t to \\r. Words are
@@ -288,10 +316,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_c
     words. Null and repeated ids are kept, each row by its own text; an empty
     table gives an empty result; other columns are ignored.
     """
-    d = id_text(docs, id_col, text_col)
+    d = id_text(docs, id_col, text_col).withColumn("proxy", F.lit(False))
     spark = docs.sparkSession
-    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
+    total, n = d.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // GROUP_BYTES))
+    # one key of both hashes tells rows of equal id and text from all others
+    keyed = d.withColumn("a", F.xxhash64("doc_id", "text")).withColumn("b", F.xxhash64("text", F.lit("copy"), "doc_id"))
+    hot = write_table(keyed.groupBy("a", "b").count().where(F.col("count") > max(hot_rows, n // HOT_KEYS)).select("a", "b"), "hot")
+    copies = None
+    if hot.limit(1).count():
+        often = keyed.join(F.broadcast(hot), ["a", "b"], "left_semi")
+        proxies = often.groupBy("a", "b").agg(F.first(F.struct("doc_id", "text")).alias("x")).select("x.doc_id", "x.text", F.lit(True).alias("proxy"))
+        d = keyed.join(F.broadcast(hot), ["a", "b"], "left_anti").select("doc_id", "text", "proxy").unionByName(proxies)
+        copies = _copies(often.select("doc_id", "text"), window)
     texts = texts_by_part(d, parts)
     found, before = None, None
     for length in levels(window, base):
@@ -301,4 +338,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_c
         before = length
         if not found.limit(1).count():
             break  # no candidate survives
-    return _result(texts, found, window)
+    out = _result(texts, found, window)
+    return out if copies is None else out.unionByName(copies)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The same over all windows as lists of words."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+x AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT rid, unnest(range(1, len(ws) - {window - 2})) AS i, ws FROM d WHERE len(ws) >= {window}),
+h AS MATERIALIZED (SELECT rid, i, md5(array_to_string(ws[i : i + {window - 1}], ' ')) AS h FROM k),
+again AS (SELECT rid, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING COUNT(*) > 1)),
+c AS (SELECT x.rid, x.i, x.word, COUNT(again.i) OVER (PARTITION BY x.rid ORDER BY x.i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) > 0 AS gone FROM x LEFT JOIN again ON x.rid = again.rid AND x.i = again.i),
+g AS (SELECT rid, COUNT(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(COALESCE(g.n_removed, 0) AS BIGINT) AS n_removed, sha256(COALESCE(g.kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.rid = g.rid
+"""
