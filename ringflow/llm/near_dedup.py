@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import write_table
@@ -43,6 +43,8 @@ TILE = 4096
 BROADCAST_IDS = 2_000_000
 #: The same for pairs of an id and a text's mark, about 100 bytes each.
 BROADCAST_KEYS = 500_000
+#: Rows of one class that a shuffle by class may bring together; larger classes are few and broadcast.
+CLASS_ROWS = 4096
 #: Pairs of one leader that are verified in one place.
 LEADER_PAIRS = 512
 #: Shingles whose permutations are held at once.
@@ -60,30 +62,41 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 
 def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
-    """Signatures [set, place] as integers step * 2^32 + random 32 bits; step by step for all shingles of all sets at once."""
-    size = np.array([len(s) for s in sets], np.int64)
+    """Signatures [set, place] as integers step * 2^32 + random 32 bits.
+
+    Shingles are taken TOGETHER at a time, those of one long set in several turns:
+    a signature is the minimum over its shingles, and what earlier ones have
+    offered stops later ones early.
+    """
     h = np.full((len(sets), places), np.iinfo(np.int64).max, np.int64)
     element = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    for at in range(0, len(element), TOGETHER):
+        part = owner[at : at + TOGETHER]
+        _offer(h[part[0] : part[-1] + 1], element[at : at + TOGETHER], part - part[0])
+    return h
+
+
+def _offer(h: np.ndarray, element: np.ndarray, owner: np.ndarray) -> None:
+    """Lower the signatures ``h`` by the values of some shingles; step by step for all of them at once."""
+    places, flat = h.shape[1], h.reshape(-1)
     perm = np.empty((len(element), places), np.uint8 if places <= 256 else np.int32)
     perm[:] = np.arange(places)
     row = np.arange(len(element))
     for step in range(places):
+        # early stop: later steps can't lower a signature whose values all lie below them
+        live = (h.max(axis=1) >= step << 32)[owner]
+        if not live.all():
+            element, owner, perm = element[live], owner[live], perm[live]
+            row = np.arange(len(element))
         if not len(element):
-            break
+            return
         r = mix(element + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         other = step + (((r & np.uint64(0xFFFFFFFF)) * np.uint64(places - step)) >> np.uint64(32)).astype(np.int64)
         place = perm[row, other].astype(np.int64)
         perm[row, other] = perm[:, step]
         value = (np.int64(step) << np.int64(32)) + (r >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(h.reshape(-1), owner * places + place, value)
-        # early stop: later steps can't lower a signature whose values all lie below them
-        going = h.max(axis=1) >= (step + 1) << 32
-        live = going[owner]
-        if not live.all():
-            element, owner, perm = element[live], owner[live], perm[live]
-            row = np.arange(len(element))
-    return h
+        np.minimum.at(flat, owner * places + place, value)
 
 
 def sketch(texts: list[str | None], hashes: WordHashes) -> Iterator[tuple[int, bytes | None, bytes | None, list[int] | None]]:
@@ -293,8 +306,8 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = write_table(sketches(d).withColumn("row", F.monotonically_increasing_id()), "sketches")
     live = rows.where("n > 0 AND doc_id IS NOT NULL")
     # classes of equal sets, numbered, since an id may stand for several texts; the minimum is taken before the shuffle, so a hot class is one row a task
-    classes = live.groupBy("name").agg(F.min(F.struct("doc_id", "row", "mark", "n", "sig", "bands")).alias("x"))
-    classes = write_table(classes.select("name", F.monotonically_increasing_id().alias("id"), "x.doc_id", "x.row", "x.mark", "x.n", "x.sig", "x.bands"), "classes")
+    classes = live.groupBy("name").agg(F.min(F.struct("doc_id", "row", "mark", "n", "sig", "bands")).alias("x"), F.count("*").alias("rows"))
+    classes = write_table(classes.select("name", F.monotonically_increasing_id().alias("id"), "rows", "x.doc_id", "x.row", "x.mark", "x.n", "x.sig", "x.bands"), "classes")
     sketch_of = classes.select("id", "n", "sig", "bands")
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = write_table(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader"), "buckets")
@@ -321,17 +334,25 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = links.unionByName(write_table(cross_links(met.join(full, "id")), "verified"))
     comp = components(links)
     # the row that stays for each group of several classes: that of the smallest id
-    owner = classes.select("id", "name", "doc_id", "row", "mark")
+    owner = classes.select("id", "name", "doc_id", "row", "mark", "rows")
     grouped = owner.join(hinted(comp), owner["id"] == comp["node"])
     first = write_table(grouped.groupBy("comp").agg(F.min(F.struct("doc_id", "name", "row", "mark")).alias("x")).select("comp", "x.doc_id", "x.row", "x.mark"), "first")
     of_node = comp.join(hinted(first, BROADCAST_KEYS), "comp").select("node", F.col("doc_id").alias("f_id"), F.col("row").alias("f_row"), F.col("mark").alias("f_mark"))
-    named = owner.join(of_node, owner["id"] == of_node["node"], "left").select(
-        "name", F.coalesce("f_id", "doc_id").alias("component_id"), F.coalesce("f_row", "row").alias("stays"), F.coalesce("f_mark", "mark").alias("stays_mark")
+    named = owner.join(of_node, owner["id"] == of_node["node"], "left").where("rows > 1 OR f_id IS NOT NULL").select(
+        "name", "rows", F.coalesce("f_id", "doc_id").alias("component_id"), F.coalesce("f_row", "row").alias("stays"), F.coalesce("f_mark", "mark").alias("stays_mark")
     )
+    # rows alone in their class and group need nothing from it; a class of many rows isn't brought together by a shuffle
+    named = write_table(named, "named")
+    many = max(CLASS_ROWS, rows.count() // BROADCAST_KEYS)  # so there are BROADCAST_KEYS larger ones at most
+    side = lambda df, mark: df.select("name", *[F.col(c).alias(f"{mark}_{c}") for c in ("component_id", "stays", "stays_mark")])
+    own = rows.select("doc_id", "mark", "n", "name", "row").join(F.broadcast(side(named.where(F.col("rows") > many), "l")), "name", "left")
+    alone = F.col("l_stays").isNotNull() | F.col("name").isNull()
+    own = own.withColumn("key", F.when(alone, F.unhex(F.hex("row"))).otherwise(F.col("name")))
+    own = own.join(side(named.where(F.col("rows") <= many), "s").withColumnRenamed("name", "key"), "key", "left")
+    own = own.select("doc_id", "mark", "n", "row", *[F.coalesce(f"l_{c}", f"s_{c}").alias(c) for c in ("component_id", "stays", "stays_mark")])
     # wordless texts have no class: only rows that repeat id and text count as one
     bare = rows.where("n = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.min("row").alias("bare_row"), F.count("*").alias("c")).where("c > 1")
     bare = write_table(bare.select(F.col("doc_id").alias("bare_id"), F.col("mark").alias("bare_mark"), "bare_row"), "bare")
-    own = rows.select("doc_id", "mark", "n", "name", "row").join(named, "name", "left")
     own = own.join(hinted(bare, BROADCAST_KEYS), (F.col("n") == 0) & (F.col("doc_id") == F.col("bare_id")) & (F.col("mark") == F.col("bare_mark")), "left")
     null_id = F.col("doc_id").isNull()
     out = own.select(
@@ -354,19 +375,49 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id reachable by links, the row's own included; kept holds for one row of each
     group, one of that id. A row without id takes no part: component_id null, kept
     true. Rows that repeat an id count as one document if they repeat its text too,
-    and one of them can be kept; with other texts each follows its own. Other
-    columns are ignored; an empty table gives an empty result.
+    and one of them can be kept; with other texts each follows its own links, and
+    an id is no link. Other columns are ignored; an empty table gives an empty result.
     """
     return _grouped(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (columns doc_id, text and any others) with one row of each group; rows without id stay."""
-    dropped = write_table(_grouped(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "again").distinct(), "gone")
-    same = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_mark"))
+    """``docs`` (columns doc_id, text and any others, whatever their names) with one row of each group, that of the smallest id.
+
+    Rows without id stay, and so do null and empty texts, which are near to nothing;
+    of rows that repeat id and text one stays. All other columns are as they were.
+    An empty table gives an empty result.
+    """
+    dropped = write_table(_grouped(docs).where("NOT kept").select("doc_id", "mark", "again").distinct(), "gone")
     gone, again = dropped.where("NOT again"), dropped.where("again")
+
+    def same(keys: DataFrame) -> Column:
+        return (docs["doc_id"].cast("long") == keys["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == keys["mark"])
+
     if not again.limit(1).count():
-        return docs.join(hinted(gone, BROADCAST_KEYS), same, "left_anti").select(*docs.columns)
+        return docs.join(hinted(gone, BROADCAST_KEYS), same(gone), "left_anti")
     # an id and text that several rows repeat: one of them
-    once = docs.join(hinted(again, BROADCAST_KEYS), same, "left_semi").withColumn("_mark", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_mark"])
-    return docs.join(hinted(dropped, BROADCAST_KEYS), same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    repeated = docs.join(hinted(again, BROADCAST_KEYS), same(again), "left_semi").select(F.struct(*docs.columns).alias("row"))
+    by = [F.col("row.doc_id"), F.xxhash64(F.col("row.text").cast("string"))]
+    once = repeated.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(by)]).agg(F.first("row").alias("row")).select("row.*")
+    return docs.join(hinted(dropped, BROADCAST_KEYS), same(dropped), "left_anti").unionByName(once)
+
+
+def oracle_sql() -> str:
+    """The same by an inverted list of all shingles; ids that don't repeat."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(g) AS g FROM (
+    SELECT doc_id, array_to_string(ws[i : i + {SHINGLE - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM d WHERE len(ws) >= {SHINGLE})
+    UNION ALL SELECT doc_id, 'short ' || array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND {SHINGLE - 1})),
+n AS MATERIALIZED (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, least) USING KEY (node) AS (
+  SELECT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL
+  UNION
+  SELECT o.node, q.least FROM (SELECT e.a AS node, MIN(r.least) AS least FROM r JOIN e ON r.node = e.b GROUP BY e.a) q JOIN recurring.r o ON o.node = q.node WHERE q.least < o.least)
+SELECT d.doc_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_shingles, r.least AS component_id, d.doc_id = r.least AS kept FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.node
+"""
