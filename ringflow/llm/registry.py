@@ -39,7 +39,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("name")
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_language, op4_near_dedup, op5_packing, op6_secrets, op7_decontamination, op8_ann, op9_chat, op10_licenses)}
-ORACLE_SQL = {"op6_secrets": secrets.oracle_sql(), "op9_chat": chat.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_substring_dedup": substring_dedup.oracle_sql(),
+    "op4_near_dedup": near_dedup.oracle_sql(),
+    "op6_secrets": secrets.oracle_sql(),
+    "op9_chat": chat.ORACLE_SQL,
+    "op10_licenses": licenses.oracle_sql(),
+}

@@ -9,6 +9,8 @@ it co-occur.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,35 +35,55 @@ KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
 SPAN = "array<struct<start:int,kind:int,stop:int,size:int>>"
 
 
+#: Findings whose places are added up together; lists of more are cut, so that no long list is copied at every finding.
+BLOCK = 256
+#: Marks around findings; those of the text give way to a third one, which has the same length and fits no pattern either.
+START, PART, OTHER = "\x01", "\x02", "\x03"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
-    """Matches of ``pattern``, leftmost and not overlapping, with the length of ``group``: the texts between them and their own lengths add up to positions."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    held = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.zip_with(F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("b"), hits.alias("h")), held, lambda x, g: F.struct(F.length(x["b"]).alias("gap"), F.length(x["h"]).alias("long"), F.length(g).alias("size")))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["long"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["long"]).alias("stop"), x["size"].alias("size")))).alias("out"),
-    )
+    """Matches of ``pattern``, leftmost and not overlapping, with the length of ``group``.
+
+    One pass marks them, then lengths add up to places: first over blocks of
+    findings, then inside each.
+    """
+    clean = F.translate(text, START + PART, OTHER + OTHER)
+    pieces = F.split(F.regexp_replace(clean, pattern, f"{START}$0{PART}${group}{PART}"), START, -1)
     empty = F.array().cast(SPAN)
-    return F.when(F.size(hits) > 0, F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+
+    def hits(p: Column) -> Column:
+        cut = F.transform(F.slice(p, 2, F.size(p)), lambda x: F.split(x, PART, -1))
+        return F.transform(cut, lambda x: F.struct(F.length(x[0]).alias("long"), F.length(x[1]).alias("size"), F.length(x[2]).alias("gap")))
+
+    def begins(blocks: Column, first: Column) -> Column:
+        total = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["long"] + x["gap"])
+        step = lambda acc, b: F.struct((acc["at"] + total(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(blocks, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    def places(block: Column, begin: Column) -> Column:
+        one = lambda acc, x: F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["long"]).alias("stop"), x["size"].alias("size"))
+        step = lambda acc, x: F.struct((acc["at"] + x["long"] + x["gap"]).alias("at"), F.concat(acc["out"], F.array(one(acc, x))).alias("out"))
+        return F.aggregate(block, F.struct(begin.alias("at"), empty.alias("out")), step)["out"]
+
+    def whole(p: Column) -> Column:
+        cut = lambda h: F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / BLOCK).cast("int")), lambda i: F.slice(h, i * BLOCK + 1, F.lit(BLOCK)))
+        placed = lambda blocks: F.flatten(F.zip_with(blocks, begins(blocks, F.length(p[0])), places))
+        return F.when(F.size(p) > 1, _let(hits(p), lambda h: _let(cut(h), placed))).otherwise(empty)
+
+    return _let(pieces, whole)
 
 
 def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))))
 
 
-def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, linked.
-
-    ``spans`` lists kind:start:end of all findings by start, then kind; ``linked``
-    those that linking has added. A weak identifier needs a secret within
-    ``scope``; a weak secret an identifier or an endpoint; an endpoint both an
-    identifier and a secret. Strong findings count as identifiers (access) and
-    secrets (assign). A null text counts as empty. Null ids and repeated ids or
-    rows are kept, each by its own text; an empty table gives an empty result;
-    other columns are ignored. Parts meet in bins of ``scope`` code points of one
-    text, so no text, however long, is compared part by part.
-    """
+def _scan(docs: DataFrame, scope: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, name (the text's hash), the lists assign, access and hex, and ``linked``, those that linking has added."""
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     found = d.select(
         "doc_id",
@@ -107,7 +129,22 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     )
     linked = met.groupBy("doc_id", "name", "long").agg(F.collect_list(F.struct("start", "kind", "stop", "size")).alias("linked"))
     a, b = found.alias("a"), linked.alias("b")
-    every = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.long") == F.col("b.long")), "left").select("a.*", F.coalesce("b.linked", F.array().cast(SPAN)).alias("linked"))
+    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.long") == F.col("b.long")), "left").select("a.*", F.coalesce("b.linked", F.array().cast(SPAN)).alias("linked"))
+
+
+def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, linked.
+
+    ``spans`` lists kind:start:end of all findings by start, then kind; ``linked``
+    those that linking has added. A weak identifier needs a secret within
+    ``scope``; a weak secret an identifier or an endpoint; an endpoint both an
+    identifier and a secret. Strong findings count as identifiers (access) and
+    secrets (assign). A null text counts as empty. Null ids and repeated ids or
+    rows are kept, each by its own text; an empty table gives an empty result;
+    other columns are ignored. Parts meet in bins of ``scope`` code points of one
+    text, so no text, however long, is compared part by part.
+    """
+    every = _scan(docs, scope, id_col, text_col)
     base = F.concat("assign", "access", "hex")
     return every.select(
         "doc_id",
@@ -117,22 +154,22 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.concat(base, "linked")).alias("spans"),
         _joined(F.col("linked")).alias("linked"),
-        "name",
     )
 
 
 MARK = "[REDACTED]"
+#: Code points of a text that are redacted at once.
+CHUNK = 4096
 
 
-def redact_text(text: Column, spans: Column) -> Column:
-    """``text`` with the given spans (kind:start:end, comma-joined, by start) replaced by MARK; overlapping spans merge."""
-    pairs = F.transform(F.filter(F.split(spans, ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("stop")))
+def redact_chunk(chunk: Column, begin: Column, spans: Column) -> Column:
+    """The part of a text that starts at ``begin``, with ``spans`` (start, stop; those that reach into it) replaced by MARK where they start. Overlapping spans merge."""
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["stop"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).alias("out"),
+        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(chunk, acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit(MARK))).alias("out"),
     )
-    end = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(pairs) == 0, text).otherwise(F.concat(end["out"], F.substr(text, end["at"] + 1, F.length(text))))
+    end = lambda e: F.concat(e["out"], F.substr(chunk, e["at"] - begin + 1, F.lit(CHUNK)))
+    return F.when(spans.isNull(), chunk).otherwise(_let(F.aggregate(F.array_sort(spans), F.struct(begin.alias("at"), F.lit("").alias("out")), step), end))
 
 
 #: Findings that may be broadcast, in bytes; more are joined by a shuffle.
@@ -140,12 +177,23 @@ BROADCAST_BYTES = 16 << 20
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``docs`` with all findings replaced by MARK; rows without findings as they were. Other columns stay."""
-    found = scan_secrets(docs, scope).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("name").alias("_name"), F.col("spans").alias("_spans")).distinct()
-    found = write_table(found, "findings")
-    size = found.agg(F.sum(F.length("_spans") + 32)).first()[0] or 0
-    joined = docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_name")), "left")
-    return joined.select(*[redact_text(docs["text"], F.coalesce("_spans", F.lit(""))).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    """``docs`` (columns doc_id, text and any others, whatever their names) with all findings replaced by MARK.
+
+    Rows without findings, null and empty texts among them, stay as they were, and
+    so do all other columns. Rows of null or repeated ids are redacted each by its
+    own text. A text is redacted in chunks, each with the findings that reach into
+    it, so the work grows with the text's length. An empty table gives an empty result.
+    """
+    spans = _scan(docs, scope, "doc_id", "text").select("doc_id", "name", F.explode(F.concat("assign", "access", "hex", "linked")).alias("s")).select("doc_id", "name", "s.start", "s.stop").distinct()
+    chunks = F.sequence(F.floor(F.col("start") / CHUNK).cast("int"), F.floor((F.col("stop") - 1) / CHUNK).cast("int"))
+    by_chunk = spans.withColumn("chunk", F.explode(chunks)).groupBy("doc_id", "name", "chunk").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = write_table(by_chunk.groupBy("doc_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "spans"))).alias("chunks"), F.sum(F.size("spans") * 8 + 32).alias("bytes")), "findings")
+    size = found.agg(F.sum("bytes")).first()[0] or 0
+    same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["name"])
+    joined = docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, same, "left")
+    parts = F.regexp_extract_all(docs["text"], F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    clean = F.concat_ws("", F.transform(parts, lambda c, i: redact_chunk(c, i * CHUNK, F.try_element_at(found["chunks"], i))))
+    return joined.select(*[F.when(found["chunks"].isNull(), docs["text"]).otherwise(clean).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def oracle_sql(scope: int = SCOPE) -> str:
@@ -164,7 +212,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS tex
 p AS (
   SELECT rid, CASE WHEN kind = 0 AND size < {MIN_ASSIGN} THEN 4 ELSE kind END AS kind, stop - n AS start, stop FROM (
     SELECT * FROM a_s WHERE size >= {MIN_WEAK} UNION ALL SELECT * FROM k_s WHERE size >= {MIN_ACCESS} UNION ALL SELECT * FROM h_s UNION ALL
-    SELECT * FROM i_s WHERE size >= {MIN_WEAK} UNION ALL SELECT * FROM e_s)),
+    SELECT * FROM i_s UNION ALL SELECT * FROM e_s)),
 l AS (
   SELECT w.rid, w.kind, w.start, w.stop FROM p w JOIN p o ON w.rid = o.rid AND w.kind >= 3 AND o.kind <> 2 AND abs(w.start - o.start) <= {scope}
   GROUP BY w.rid, w.kind, w.start, w.stop
