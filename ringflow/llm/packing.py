@@ -299,14 +299,16 @@ def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: in
 
         return run
 
-    spread = problem.repartition("shard", "island")
-    state = write_table(spread.select("shard", "island", "length", F.lit(None).cast("array<binary>").alias("elites")).mapInArrow(epoch(0), schema), "islands")
+    # searches take long for their few bytes, so small shuffles must not be merged into one task
+    tasks = min(shards * islands, max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * islands // 16))
+    spread = lambda df: df.repartition(tasks, "shard", "island")
+    state = write_table(spread(problem).select("shard", "island", "length", F.lit(None).cast("array<binary>").alias("elites")).mapInArrow(epoch(0), schema), "islands")
     for number in range(1, epochs):
         # each island keeps its elites and gets those of the island before it
         own = state.select("shard", "island", F.col("elites").alias("own"))
         come = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elites").alias("come"))
         ready = problem.select("shard", "island", "length").join(own, ["shard", "island"]).join(come, ["shard", "island"])
-        state = write_table(ready.select("shard", "island", "length", F.array_distinct(F.concat("own", "come")).alias("elites")).mapInArrow(epoch(number), schema), "islands")
+        state = write_table(spread(ready.select("shard", "island", "length", F.array_distinct(F.concat("own", "come")).alias("elites"))).mapInArrow(epoch(number), schema), "islands")
     best = state.groupBy("shard").agg(F.min(F.struct("bins", "wasted", "island", "elites")).alias("b")).select("shard", F.col("b.elites")[0].alias("solution"))
     share = OPEN_SHARE if shards > 1 else 0.0
 
