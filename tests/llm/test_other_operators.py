@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ringflow.llm import ann, chat, components, registry
@@ -63,6 +65,13 @@ def test_awkward_vectors(spark):
     assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {0: [1, 2, 3], 50: [0, 1, 2], 100: [0, 1, 2], 150: [0, 1, 2]}
 
 
+def test_repeated_query_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, -1.0]), (1, [3.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(v, v.where("vec_id = 0"), k=3).collect())
+    assert got == [(0, 1, 1, 3.0), (0, 2, 2, 2.0), (0, 3, 1, 0.0)]
+
+
 def test_probes_come_by_expected_success():
     sets = ann.perturbations(4, 30)
     assert sets[0] == [] and sets[1] == [0] and len({tuple(s) for s in sets}) == len(sets)
@@ -73,10 +82,13 @@ def test_probes_come_by_expected_success():
 
 
 def test_chat_awkward(spark):
-    rows = [(1, 0, "system", "S", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", "yo", 0), (1, 2, "bob", "yo", 0), (1, None, None, None, 0), (2, 0, "system", "alone", 0), (None, 0, "ann", "", 0), (3, 600, "ann", "late", 0), (3, 1, "ann", "soon", 0)]
-    t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, segment int")
-    got = {(r["conv_id"], r["perspective"], r["segment"]): (r["n_turns"], r["text"], r["mask"]) for r in chat.rotate_perspectives(t).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (None, "ann", 0), (3, "ann", 0), (3, "ann", 1)}
+    rows = [(1, 0, "system", "S", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", "yo", 0), (1, 2, "bob", "yo", 0), (1, None, None, None, 0), (2, 0, "system", "alone", 0), (None, 0, "ann", "", 0), (None, 0, "ann", "", 0), (None, 1, "system", "x", 0), (3, 600, "ann", "late", 0), (3, 1, "ann", "soon", 0)]
+    t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, part int").withColumn("count", F.lit(1)).withColumn("start", F.lit(2)).withColumn("perspective", F.lit("x"))
+    out = chat.rotate_perspectives(t).collect()
+    got = {(r["conv_id"], r["perspective"], r["part"]): (r["n_turns"], r["text"], r["mask"]) for r in out}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (None, "ann", 0), (3, "ann", 0)}
+    assert len(out) == len(got) + 1  # every turn without conversation for itself
+    assert got[None, "ann", 0] == (1, "<|assistant|>\n<|end|>\n", "14:22")
     n, text, mask = got[1, "bob", 0]
     assert n == 5
     assert text == "<|user name=unknown|>\n<|end|>\n<|system|>\nS<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n<|assistant|>\nyo<|end|>\n"
@@ -84,6 +96,38 @@ def test_chat_awkward(spark):
     assert chat.rotate_perspectives(t.where("false")).count() == 0
 
 
+def rendered(turns, who):
+    """Text and mask of one whole dialogue."""
+    text, mask = "", []
+    for role, words in turns:
+        text += "<|assistant|>\n" if role == who else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+        start = len(text)
+        text += words + "<|end|>\n"
+        if role == who:
+            mask.append(f"{start}:{len(text)}")
+    return text, ",".join(mask)
+
+
+@pytest.mark.parametrize("gathered", [10**6, 500])
+def test_long_dialogues_are_rendered_whole(spark, gathered):
+    """Thousands of turns, null and repeated numbers in bulk: parts bounded by turns give the whole rendering."""
+    rng = random.Random(3)
+    rows = [(7, rng.choice([None, 5, *range(900)]), rng.choice(["ann", "bob", "bob", "system"]), f"{rng.randrange(10**6)} 漢😀"[: rng.randrange(9)]) for _ in range(2500)]
+    rows += [(8, i, "ann" if i % 2 else "cid", f"t{i}") for i in range(30)]
+    t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    parts = chat.rotate_perspectives(t, part_turns=100, gathered_turns=gathered).cache()
+    assert max(r["n_turns"] for r in parts.collect()) == 100
+    got = {(r["conv_id"], r["perspective"]): (r["n_turns"], r["text"], r["mask"]) for r in chat.whole_dialogues(parts).collect()}
+    for conv, people in ((7, ["ann", "bob"]), (8, ["ann", "cid"])):
+        turns = sorted(((-1 if n is None else n, r, hashlib.md5(x.encode()).hexdigest(), x) for c, n, r, x in rows if c == conv))
+        for who in people:
+            text, mask = rendered([(r, x) for _, r, _, x in turns], who)
+            assert got[conv, who] == (len(turns), text, mask)
+            for r in parts.where((F.col("conv_id") == conv) & (F.col("perspective") == who)).collect():
+                assert text[r["start"] :].startswith(r["text"])
+    assert set(got) == {(7, "ann"), (7, "bob"), (8, "ann"), (8, "cid")}
+
+
 # --- components
 
 
