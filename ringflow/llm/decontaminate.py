@@ -12,12 +12,13 @@ does: PASSAGE tokens in a row, PASSAGE_AGREED of which agree at one shift.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import WordHashes, filter_rows, id_text, map_rows, mix
+from ._text import WordHashes, filter_rows, id_text, map_rows, mix, utf8
 
 # Spaced seeds of weight 5. For every pair of near substitutions one of them fits between.
 SEEDS = ("11111", "1101101", "11001011", "101100101", "1010011001")
@@ -27,11 +28,14 @@ MIN_OVERLAP = 0.6
 PASSAGE, PASSAGE_AGREED = 13, 11
 #: Shifts compared for an item end where fewer tokens than this agree in a stretch of the item's length.
 MIN_RUN = 5
-#: Benchmark items handled in one pass over the documents; more of them take further passes.
+#: Benchmark items handled in one pass over the documents: items, their tokens and their bytes at most; more of them take further passes.
 CHUNK_ITEMS = 20_000
 CHUNK_TOKENS = 4_000_000
+CHUNK_BYTES = 32 << 20
 #: Tokens of documents hashed together.
 TOGETHER = 1 << 17
+#: Hits of an item and a place that are weighed together (those of one document at least), and tokens compared at once.
+HITS, COMPARED = 1 << 20, 1 << 22
 
 # ASCII letters and digits and all non-ASCII bytes belong to tokens; everything else parts them.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -62,6 +66,14 @@ def passages(same: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p), int(p) + PASSAGE) for p in (at[0], at[-1])] if len(at) else []
 
 
+def _distinct(doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows once each, in order."""
+    order = np.lexsort((shift, item, doc))
+    doc, item, shift = doc[order], item[order], shift[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])] if len(doc) else np.zeros(0, bool)
+    return doc[new], item[new], shift[new]
+
+
 class SeedIndex:
     """Seed hashes of a bounded chunk of benchmark items, sorted, with a bitmap in front."""
 
@@ -83,7 +95,10 @@ class SeedIndex:
             keys = keys[order].astype(np.uint64)
             bitmap = np.zeros(1 << self.BITS, bool)
             bitmap[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-            self.by_seed.append((seed, bitmap, keys, owner[order], at[order]))
+            self.by_seed.append((seed, bitmap, keys, owner[order].astype(np.int64), at[order].astype(np.int64)))
+        self.size = np.array([len(h) for _, h in self.items], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([h for _, h in self.items]) if self.items else np.empty(0, np.uint64)
         # items shorter than the shortest seed can only be met whole
         self.short = {h.tobytes(): [] for _, h in self.items if len(h) < min(map(len, SEEDS))}
         for n, (_, h) in enumerate(self.items):
@@ -91,24 +106,78 @@ class SeedIndex:
                 self.short[h.tobytes()].append(n)
         self.short_sizes = sorted({len(k) // 8 for k in self.short})
 
-    def shifts(self, docs: list[np.ndarray]) -> dict[int, dict[int, set[int]]]:
-        """document -> item -> shifts (document position minus item position) with a hit; hashed together for speed."""
-        out: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        ends = np.cumsum([len(h) for h in docs])
-        h = np.concatenate(docs) if docs else np.empty(0, np.uint64)
-        for seed, bitmap, keys, owner, at in self.by_seed:
+    def hits(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """document, place in it, seed, and range of equal keys of that seed, for all hits in documents laid end to end, by document."""
+        found = []
+        for number, (seed, bitmap, keys, *_) in enumerate(self.by_seed):
             own = seed_hashes(h, seed)
             near = np.flatnonzero(bitmap[(own >> np.uint64(64 - self.BITS)).view(np.int64)])
             lo, hi = np.searchsorted(keys, own[near], "left"), np.searchsorted(keys, own[near], "right")
             near, lo, hi = near[hi > lo], lo[hi > lo], hi[hi > lo]
             doc = np.searchsorted(ends, near, "right")
             inside = near + len(seed) <= ends[doc]  # a hit across two documents is none
-            for p, d, a, b in zip(near[inside].tolist(), doc[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
-                p -= int(ends[d]) - len(docs[d])
-                for n, q in zip(owner[a:b].tolist(), at[a:b].tolist(), strict=True):
-                    out[d][n].add(p - q)
+            near, doc, lo, hi = near[inside], doc[inside], lo[inside], hi[inside]
+            found.append((doc, near - starts[doc], np.full(len(doc), number), lo, hi))
+        doc, place, seed, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(doc, kind="stable")
+        return doc[order], place[order], seed[order], lo[order], hi[order]
+
+    def shifts(self, doc: np.ndarray, place: np.ndarray, seed: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """document, item and shift (document position minus item position) of all hits, each once."""
+        parts = []
+        total = np.cumsum(hi - lo)
+        cuts = np.unique(np.r_[0, np.searchsorted(total, np.arange(HITS, total[-1], HITS)) + 1, len(total)])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for number, (*_, owner, at) in enumerate(self.by_seed):
+                mine = a + np.flatnonzero(seed[a:b] == number)
+                n = hi[mine] - lo[mine]
+                which = np.repeat(mine, n)
+                key = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+                parts.append(_distinct(doc[which], owner[key], place[which] - at[key]))
+        return _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def agreeing(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """How many tokens agree with each item laid over its document at its shift."""
+        size = self.size[item]
+        a, b = np.maximum(0, -shift), np.minimum(size, ends[doc] - starts[doc] - shift)
+        n = b - a
+        out = np.zeros(len(doc), np.int64)
+        total = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + COMPARED, "right")))
+            which = np.repeat(np.arange(at, to), n[at:to])
+            k = np.arange(len(which)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to]) + a[which]
+            same = self.flat[self.first[item[which]] + k] == h[starts[doc[which]] + shift[which] + k]
+            out[at:to] = np.bincount(which - at, weights=same, minlength=to - at).astype(np.int64)
+            at = to
         return out
 
+    def candidates(self, docs: list[np.ndarray], min_overlap: float) -> Iterator[tuple[int, dict[int, list[int]]]]:
+        """document, and the shifts of each item of which enough tokens agree, over all shifts or at one, to be looked at closely."""
+        sizes = np.array([len(x) for x in docs], np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        h = np.concatenate(docs) if docs else np.empty(0, np.uint64)
+        found = self.hits(h, starts, ends)
+        doc, weight = found[0], found[4] - found[3]
+        rows = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64), len(doc)]
+        before = np.r_[0, np.cumsum(weight)][rows]
+        lo = 0
+        while lo < len(rows) - 1:
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + HITS, "right")) - 1)  # whole documents up to HITS hits, one at least
+            part = slice(rows[lo], rows[hi])
+            d, n, s = self.shifts(*(x[part] for x in found))
+            same = self.agreeing(h, starts, ends, d, n, s)
+            pair = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (n[1:] != n[:-1])])
+            stop = np.r_[pair[1:], len(d)]
+            enough = (np.add.reduceat(same, pair) >= min_overlap * self.size[n[pair]] - 1e-9) | (np.maximum.reduceat(same, pair) >= PASSAGE_AGREED)
+            by_doc: dict[int, dict[int, list[int]]] = defaultdict(dict)
+            for a, b in zip(pair[enough].tolist(), stop[enough].tolist(), strict=True):
+                by_doc[int(d[a])][int(n[a])] = s[a:b].tolist()
+            yield from by_doc.items()
+            lo = hi
+
     def scan(self, texts: list[str | None], min_overlap: float) -> list[tuple[int, int, int, int, int, float]]:
         """(text's index, item_id, start, end, tokens agreed, share) of the items leaked into the texts."""
         found, docs, first = [], [], 0
@@ -117,14 +186,14 @@ class SeedIndex:
             docs.append(self.hashes.of(tokens(text)))
             held += len(docs[-1])
             if held >= TOGETHER or k == len(texts) - 1:
-                by_doc = self.shifts(docs)
-                for d, h in enumerate(docs):
-                    if d in by_doc or self.short_sizes:
-                        found.extend((first + d, *x) for x in self.overlaps(h, by_doc.get(d, {}), min_overlap))
+                for d, by_item in self.candidates(docs, min_overlap):
+                    found.extend((first + d, *x) for x in self.overlaps(docs[d], by_item, min_overlap))
+                for d, h in enumerate(docs if self.short_sizes else []):
+                    found.extend((first + d, *x) for x in self.whole_short(h))
                 docs, first, held = [], k + 1, 0
         return found
 
-    def overlaps(self, h: np.ndarray, by_item: dict[int, set[int]], min_overlap: float) -> list[tuple[int, int, int, int, float]]:
+    def overlaps(self, h: np.ndarray, by_item: dict[int, list[int]], min_overlap: float) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, end, tokens agreed, share) of the items leaked into one document."""
         found = []
         for n, shifts in by_item.items():
@@ -160,6 +229,11 @@ class SeedIndex:
                     best = leak
             if best:
                 found.append(best)
+        return found
+
+    def whole_short(self, h: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """The same for items shorter than any seed, which must stand in the document whole."""
+        found = []
         for size in self.short_sizes:
             seen = set()
             for p in range(len(h) - size + 1):
@@ -171,16 +245,16 @@ class SeedIndex:
 
 
 def benchmark_chunks(benchmark: DataFrame, id_col: str, text_col: str):
-    """Lists of (item_id, text), each bounded by CHUNK_ITEMS items and CHUNK_TOKENS tokens (or one item)."""
-    chunk, held = [], 0
+    """Lists of (item_id, text), each bounded by CHUNK_ITEMS items, CHUNK_TOKENS tokens and CHUNK_BYTES bytes (or one item)."""
+    chunk, held, size = [], 0, 0
     rows = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].cast("string").alias("t")).where(F.col("t").isNotNull()).distinct().orderBy("i", "t")
     for r in rows.toLocalIterator():
-        n = r["t"].count(" ") + 1
-        if chunk and (len(chunk) >= CHUNK_ITEMS or held + n > CHUNK_TOKENS):
+        n, b = len(tokens(r["t"])), len(utf8(r["t"]))
+        if chunk and (len(chunk) >= CHUNK_ITEMS or held + n > CHUNK_TOKENS or size + b > CHUNK_BYTES):
             yield chunk
-            chunk, held = [], 0
+            chunk, held, size = [], 0, 0
         chunk.append((r["i"], r["t"]))
-        held += n
+        held, size = held + n, size + b
     if chunk:
         yield chunk
 
@@ -221,7 +295,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_O
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` (with a column text) without the rows that hold an item; all columns stay, nothing is shuffled."""
+    """``docs`` (with a column text and any others) without the rows that hold an item, as ``find_leaks`` finds them.
+
+    All columns stay; null, empty and token-less texts stay; repeated rows share one
+    fate; empty tables give an empty result or all of ``docs``. Nothing is shuffled.
+    """
     for chunk in benchmark_chunks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(chunk)
 
