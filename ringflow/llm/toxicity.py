@@ -23,6 +23,8 @@ from ._text import filter_rows, fold_remainder, id_text, map_rows
 TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 3000
 TRAIN_CHARS = 15_000_000
+#: Texts of more characters aren't learned from: one label says little about a text of thousands of sentences.
+TRAIN_TEXT_CHARS = 200_000
 #: Sentences of the sample that a feature must occur in.
 MIN_SENTENCES = 8
 #: Pull of every weight towards zero.
@@ -86,62 +88,80 @@ class NoisyOrModel:
         return (-math.expm1(clean) if spans else 1 / (1 + math.exp(-bias))), spans
 
 
+class Bags:
+    """A sample's documents as bags of sentences, these as sets of words, and words as lists of features."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        vocabulary: dict[str, int] = {}
+        tokens, token_sentence, sentence_doc = [], [], []
+        for d, text in enumerate(texts):
+            for *_, words in sentences(text) or [(0, 0, [])]:
+                ids = [vocabulary.setdefault(w, len(vocabulary)) for w in sorted(set(words))]
+                tokens.extend(ids)
+                token_sentence.extend([len(sentence_doc)] * len(ids))
+                sentence_doc.append(d)
+        self.tokens, self.token_sentence, self.sentence_doc = (np.array(x, np.int64) for x in (tokens, token_sentence, sentence_doc))
+        self.n_docs, self.n_words = len(texts), len(vocabulary)
+        names: dict[str, int] = {}
+        feats = [[names.setdefault(f, len(names)) for f in word_features(w)] for w in vocabulary]
+        feat_word = np.repeat(np.arange(self.n_words), [len(f) for f in feats])
+        feat = np.array([f for fs in feats for f in fs], np.int64)
+        # features of few sentences can't be told from chance
+        held = np.bincount(self.tokens, minlength=self.n_words)
+        common = np.bincount(feat, weights=held[feat_word], minlength=len(names)) >= MIN_SENTENCES
+        self.feat_word, feat = feat_word[common[feat]], feat[common[feat]]
+        used, self.feat = np.unique(feat, return_inverse=True)
+        by_id = list(names)
+        self.names = [by_id[f] for f in used.tolist()]
+        self.y = np.array(labels, float)
+        share = np.where(self.y == 1, 0.5 / max(self.y.sum(), 1), 0.5 / max((1 - self.y).sum(), 1))
+        prior = np.where(self.y == 1, self.y.mean(), 1 - self.y.mean())
+        self.share = share * (0.5 + prior)  # between balanced classes and the sample's own mix
+
+    def loss_and_gradient(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Weighted cross-entropy of the documents' noisy-or with the ridge, and its gradient by ``w`` and ``b``."""
+        word_score = np.bincount(self.feat_word, weights=w[self.feat], minlength=self.n_words)
+        z = np.clip(b + np.bincount(self.token_sentence, weights=word_score[self.tokens], minlength=len(self.sentence_doc)), -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        log_q = np.bincount(self.sentence_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=self.n_docs)
+        q = np.exp(log_q)  # 1 - P
+        loss = float((self.share * np.where(self.y == 1, -np.log(np.maximum(1 - q, 1e-9)), -log_q)).sum() + 0.5 * RIDGE * (w * w).sum())
+        pull = np.where(self.y == 1, -q / np.maximum(1 - q, 1e-9), 1.0) * self.share
+        gz = pull[self.sentence_doc] * p
+        g_word = np.bincount(self.tokens, weights=gz[self.token_sentence], minlength=self.n_words)
+        return loss, np.bincount(self.feat, weights=g_word[self.feat_word], minlength=len(w)) + RIDGE * w, float(gz.sum())
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> NoisyOrModel:
-    """Adam on the cross-entropy of noisy-or; full batches, fixed order: the same sample gives the same model."""
+    """Adam on the cross-entropy of noisy-or; full batches, fixed order: the same sample gives the same model.
+
+    Without texts or with labels of one kind alone, every text gets that kind's share.
+    """
     if not texts or len(set(labels)) < 2:
         rate = min(max(float(np.mean(labels)) if labels else 0.0, 1e-4), 1 - 1e-4)
         return NoisyOrModel({}, math.log(rate / (1 - rate)))
-    vocabulary: dict[str, int] = {}
-    tokens, token_sentence, sentence_doc = [], [], []
-    for d, text in enumerate(texts):
-        spans = sentences(text) or [(0, 0, [])]
-        for *_, words in spans:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in sorted(set(words))]
-            tokens.extend(ids)
-            token_sentence.extend([len(sentence_doc)] * len(ids))
-            sentence_doc.append(d)
-    tokens, token_sentence, sentence_doc = (np.array(x, np.int64) for x in (tokens, token_sentence, sentence_doc))
-    n_sentences, n_docs, n_words = len(sentence_doc), len(texts), len(vocabulary)
-    names: dict[str, int] = {}
-    feats = [[names.setdefault(f, len(names)) for f in word_features(w)] for w in vocabulary]
-    feat_word = np.repeat(np.arange(n_words), [len(f) for f in feats])
-    feat = np.array([f for fs in feats for f in fs], np.int64)
-    # features of few sentences can't be told from chance
-    held = np.bincount(tokens, minlength=n_words)
-    common = np.bincount(feat, weights=held[feat_word], minlength=len(names)) >= MIN_SENTENCES
-    feat_word, feat = feat_word[common[feat]], feat[common[feat]]
-    used, feat = np.unique(feat, return_inverse=True)
-    y = np.array(labels, float)
-    w, b = np.zeros(len(used)), -4.0
+    bags = Bags(texts, labels)
+    w, b = np.zeros(len(bags.names)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    prior = np.where(y == 1, y.mean(), 1 - y.mean())
-    share = share * (0.5 + prior)  # between balanced classes and the sample's own mix
     for t in range(1, epochs + 1):
-        word_score = np.bincount(feat_word, weights=w[feat], minlength=n_words)
-        z = np.clip(b + np.bincount(token_sentence, weights=word_score[tokens], minlength=n_sentences), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        q = np.exp(np.bincount(sentence_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs))  # 1 - P
-        pull = np.where(y == 1, -q / np.maximum(1 - q, 1e-9), 1.0) * share
-        gz = pull[sentence_doc] * p
-        g_word = np.bincount(tokens, weights=gz[token_sentence], minlength=n_words)
-        g = np.bincount(feat, weights=g_word[feat_word], minlength=len(w)) + RIDGE * w
-        gb = gz.sum()
+        _, g, gb = bags.loss_and_gradient(w, b)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         # the size of a step follows the gradient's evidence: features seen once hardly move
         w -= 0.1 * fix * m / (np.sqrt(v) + 1e-4)
         b -= 0.05 * fix * mb / (np.sqrt(vb) + 1e-4)
-    by_id = list(names)
-    return NoisyOrModel({by_id[f]: float(x) for f, x in zip(used.tolist(), w, strict=True)}, b)
+    return NoisyOrModel(dict(zip(bags.names, w.tolist(), strict=True)), b)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
-    """A sample of labelled documents, chosen by hash: TRAIN_TOXIC and TRAIN_CLEAN ids, TRAIN_CHARS characters at most.
+    """(text, class) of labelled documents, chosen by hash: TRAIN_TOXIC and TRAIN_CLEAN ids, TRAIN_CHARS characters at most.
 
     The ids are picked from the labels alone and then broadcast, so no text but the
-    sample's own leaves its task.
+    sample's own leaves its task. Texts above TRAIN_TEXT_CHARS, and those that would
+    exceed their class's share of TRAIN_CHARS, are left out one by one. Null ids, labels
+    and texts teach nothing; an id labelled both ways is toxic; of an id's several
+    texts each is learned from.
     """
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     spark = docs.sparkSession
@@ -149,17 +169,22 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     for cls, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
         ids = labelled.where(F.col("toxic") == cls).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()
         sample = spark.createDataFrame(ids, "doc_id long")
-        rows = id_text(docs).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+        rows = id_text(docs).where(F.length("text") <= TRAIN_TEXT_CHARS).join(F.broadcast(sample), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         held = 0
         for r in rows.toLocalIterator():
-            held += len(r["text"])
-            if held > TRAIN_CHARS * most / (TRAIN_TOXIC + TRAIN_CLEAN):
-                break
-            out.append((r["text"], cls))
+            if held + len(r["text"]) <= TRAIN_CHARS * most / (TRAIN_TOXIC + TRAIN_CLEAN):
+                held += len(r["text"])
+                out.append((r["text"], cls))
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> NoisyOrModel:
+    """The model of ``labels`` (doc_id, toxic) over ``docs`` (doc_id, text); other columns of either are ignored.
+
+    What it learns from is stated in ``training_rows``. If either table is empty, or
+    only one class is left, the model gives every text that class's share and finds
+    no sentence.
+    """
     rows = training_rows(docs, labels)
     return fit([t for t, _ in rows], [y for _, y in rows])
 
@@ -195,7 +220,11 @@ def score_documents(docs: DataFrame, model: NoisyOrModel, threshold: float = THR
 
 
 def drop_toxic(docs: DataFrame, model: NoisyOrModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (with a column text) without the rows that reach ``threshold``; all columns stay, and so do null and empty texts."""
+    """``docs`` (with a column text and any others) without the rows whose text reaches ``threshold``.
+
+    All columns stay, and so do null and empty texts; rows that repeat share one fate;
+    an empty table gives an empty result. Nothing is shuffled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def make():
