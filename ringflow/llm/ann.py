@@ -150,7 +150,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     Every usable row is indexed. Vectors that are null, zero, empty or hold a
     null or non-finite component take no part, nor do rows without id; a query is
     compared with candidates of its own length only. Repeated ids are candidates
-    once each per distinct vector. Every query meets every shard in blocks, so no
+    once each per distinct vector. A query id with several vectors asks with each,
+    and its rows are the nearest to any of them, a pair of score and vec_id once. Every query meets every shard in blocks, so no
     hot bucket gathers in one task; a task holds SHARD_VECTORS vectors and
     BLOCK_QUERIES queries. Empty tables give an empty result; other columns are
     ignored.
