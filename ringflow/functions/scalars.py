@@ -11,6 +11,12 @@ def cents(amount: Column) -> Column:
     return (amount.cast("decimal(20,2)") * 100).cast("bigint")
 
 
+def amount_text(cents: Column) -> Column:
+    """Integer cents as text with as many decimals as it takes: none, one or two."""
+    whole, rest = (F.floor(cents / 100)).cast("string"), F.pmod(cents, F.lit(100))
+    return F.when(rest == 0, whole).when(rest % 10 == 0, F.concat(whole, F.lit("."), (rest / 10).cast("int").cast("string"))).otherwise(F.concat(whole, F.lit("."), F.lpad(rest.cast("string"), 2, "0")))
+
+
 def ratio_ok(earlier: Column, later: Column) -> Column:
     """The later transfer is 0.2 to 3 times the earlier one, both bounds included; integers, no division."""
     return (earlier <= 5 * later) & (later <= 3 * earlier)
