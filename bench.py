@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ringflow.plans import registry
 
-HEADLINE = ["cycles3_ratio", "cycles_all_plain", "cycles_all_ratio", "edges_trimmed", "scc_labels", "betweenness_sampled", "money_ratio_pairs", "nation_trade"]
+HEADLINE = ["cycles3_ratio", "cycles_all_plain", "cycles_all_ratio", "edges_trimmed", "scc_labels", "betweenness_scores", "money_ratio_pairs", "nation_trade"]
 
 
 def main() -> None:

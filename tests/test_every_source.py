@@ -1,4 +1,4 @@
-"""The queries over all sources against brute force; edge weights run to 97, so the orders make the graph."""
+"""Path and centrality queries against brute force; edge weights run to 97, so the orders make the graph."""
 
 import pandas as pd
 import pytest
@@ -43,15 +43,15 @@ def found(spark, sf_dir, name, *cols):
 def test_paths_start_at_every_vertex(spark, sf_dir):
     dist, dag, sigma = paths()
     assert {s for s, _ in dist} == set(IDS) and not any(s % 10 == 0 for s in IDS)
-    assert found(spark, sf_dir, "sssp_distances_every", "s", "v", "d") == sorted((s, v, d) for (s, v), d in dist.items())
-    assert found(spark, sf_dir, "shortest_path_dag_every", "s", "u", "v") == sorted(dag)
-    assert found(spark, sf_dir, "shortest_path_counts_every", "s", "v", "sigma") == sorted((s, v, n) for (s, v), n in sigma.items())
+    assert found(spark, sf_dir, "sssp_distances", "s", "v", "d") == sorted((s, v, d) for (s, v), d in dist.items())
+    assert found(spark, sf_dir, "shortest_path_dag", "s", "u", "v") == sorted(dag)
+    assert found(spark, sf_dir, "shortest_path_counts", "s", "v", "sigma") == sorted((s, v, n) for (s, v), n in sigma.items())
 
 
 def test_scores_count_every_source(spark, sf_dir):
     expected = oracles.betweenness(EDGES)
     assert max(expected.values()) > 5
-    assert {i: s for i, s in found(spark, sf_dir, "betweenness_by_joins_every", "id", "score")} == pytest.approx({i: s for i, s in expected.items() if s}, abs=1e-3)
-    lines = found(spark, sf_dir, "betweenness_lines_text_every", "line_no", "line")
+    assert {i: s for i, s in found(spark, sf_dir, "betweenness_by_joins", "id", "score")} == pytest.approx({i: s for i, s in expected.items() if s}, abs=1e-3)
+    lines = found(spark, sf_dir, "betweenness_lines_text", "line_no", "line")
     assert [n for n, _ in lines] == list(range(1, len(IDS) + 1))
     assert {int(x.split(",")[0]): float(x.split(",")[1]) for _, x in lines} == pytest.approx(expected, abs=1e-3)
