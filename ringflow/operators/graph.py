@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running_total
+from ..functions.ordered import numbered, running_total
 from ..functions.tables import drop_table, write_table
+from . import kernels
 
-#: Edges that one task may hold; larger graphs take the plan of joins.
+#: Edges that one task may hold (16 to 24 bytes each as they come in); larger graphs take plans of joins.
 KERNEL_EDGES = 2_000_000
+#: Vertices whose ids may be broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -39,17 +40,25 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def dense_ids(edges: DataFrame) -> DataFrame:
     """id, dense: ids numbered 0, 1, ... in ascending order."""
-    return running_total(vertices(edges), "id", F.lit(1), "dense")
+    return running_total(write_table(vertices(edges), "vertices"), "id", F.lit(1), "dense")
 
 
 def csr_offsets(edges: DataFrame) -> DataFrame:
     """id, deg, begin: where each source's edges begin in an adjacency array sorted by source."""
-    return running_total(out_degree(edges), "id", F.col("deg"), "begin")
+    return running_total(write_table(out_degree(edges), "degrees"), "id", F.col("deg"), "begin")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """id, neighbours: comma-joined successors in ascending order, parallel edges repeated."""
-    return edges.groupBy(F.col("src").alias("id")).agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("dst")), lambda x: x.cast("string"))).alias("neighbours"))
+def adjacency(edges: DataFrame, at: str = "src", of: str = "dst") -> DataFrame:
+    """id, neighbours: comma-joined successors in ascending order, parallel edges repeated.
+
+    A vertex's list is one value, so it is as long as its degree.
+    """
+    return edges.groupBy(F.col(at).alias("id")).agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(of)), lambda x: x.cast("string"))).alias("neighbours"))
+
+
+def reverse_adjacency(edges: DataFrame) -> DataFrame:
+    """id, neighbours: the same for predecessors."""
+    return adjacency(edges, "dst", "src")
 
 
 def encode(edges: DataFrame) -> DataFrame:
@@ -61,104 +70,87 @@ def encode(edges: DataFrame) -> DataFrame:
 
 def with_onward_edges(edges: DataFrame) -> DataFrame:
     """Semi-join: edges whose dst is the src of some edge."""
-    return edges.join(edges.select(F.col("src").alias("_s")).distinct(), F.col("dst") == F.col("_s"), "left_semi")
+    heads = edges.select(F.col("src").alias("head")).distinct()
+    return edges.join(heads, edges["dst"] == heads["head"], "left_semi")
 
 
 def without_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 
 
-def trim(edges: DataFrame) -> DataFrame:
-    """Peel until every src is some edge's dst and every dst some edge's src."""
-    table = write_table(edges, "trim")  # read three times in a round
+def hinted(ids: DataFrame) -> DataFrame:
+    """A table of ids marked for broadcast if there are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def trim(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """Peel until every src is some edge's dst and every dst some edge's src.
+
+    Rounds of joins take a layer off both sides each, until nothing changes or what
+    is left fits one task, which finishes it.
+    """
+    table = write_table(edges, "trim")
     n = table.count()
-    while n:
-        srcs, dsts = table.select(F.col("src").alias("_s")).distinct(), table.select(F.col("dst").alias("_d")).distinct()
-        nxt = write_table(table.join(srcs, F.col("dst") == F.col("_s"), "left_semi").join(dsts, F.col("src") == F.col("_d"), "left_semi"), "trim")
+    while n > kernel_edges:
+        srcs, dsts = table.select(F.col("src").alias("head")).distinct(), table.select(F.col("dst").alias("tail")).distinct()
+        nxt = write_table(table.join(srcs, table["dst"] == srcs["head"], "left_semi").join(dsts, table["src"] == dsts["tail"], "left_semi"), "trim")
         m = nxt.count()
         drop_table(table)
         table = nxt
         if m == n:
-            break
+            return table
         n = m
-    return table
+    if not n:
+        return table
+    live = write_table(kernels.in_one_task(table.select("src", "dst"), kernels.trimmed, "id bigint"), "live")
+    few = hinted(live)
+    heads, tails = few.withColumnRenamed("id", "head"), few.withColumnRenamed("id", "tail")
+    core = write_table(table.join(heads, table["src"] == heads["head"], "left_semi").join(tails, table["dst"] == tails["tail"], "left_semi"), "trim")
+    drop_table(table, live)
+    return core
 
 
-def chain_peel(edges: DataFrame) -> DataFrame:
+def chain_peel(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """id, parent, size of vertices removed while they have in-degree 0 and out-degree 1 (parallel edges counted).
 
-    Peeling u -> v adds size(u) + 1 to size(v). Sizes of all vertices are carried
-    along until they are peeled.
+    Peeling u -> v adds size(u) + 1 to size(v). Rounds of joins take a layer each,
+    until what is left fits one task, which finishes it. Sizes are kept for vertices
+    that others have been peeled into.
     """
     live = write_table(edges.select("src", "dst"), "peel")
-    sizes = write_table(vertices(edges).select("id", F.lit(0).cast("bigint").alias("size")), "sizes")
-    out = []
-    while True:
+    sizes = write_table(edges.select(F.col("src").alias("id"), F.lit(0).cast("bigint").alias("size")).limit(0), "sizes")
+    out = sizes.select("id", F.col("id").alias("parent"), "size")
+    while live.count() > kernel_edges:
         deg = degrees(live)
         leaf = deg.where("n_in = 0 AND n_out = 1").select("id")
-        peeled = write_table(live.join(leaf, live["src"] == leaf["id"]).select("id", F.col("dst").alias("parent")).join(sizes, "id"), "peeled")
+        found = live.join(leaf, live["src"] == leaf["id"]).select("id", F.col("dst").alias("parent"))
+        peeled = write_table(found.join(sizes, "id", "left").select("id", "parent", F.coalesce("size", F.lit(0)).alias("size")), "peeled")
         if not peeled.limit(1).count():
-            break
-        out.append(peeled)
-        gain = peeled.groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("size") + 1).alias("gain"))
-        sizes = write_table(sizes.join(gain, "id", "left").select("id", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "sizes")
-        live = write_table(live.join(peeled.select(F.col("id").alias("src")), "src", "left_anti"), "peel")
-    result = peeled
-    for p in out:
-        result = result.unionByName(p)
-    return result
-
-
-def _tarjan(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Components by one depth-first pass over a bounded graph, with a stack of its own."""
-    follow: dict[int, list[int]] = {}
-    for a, b in zip(pairs["src"].tolist(), pairs["dst"].tolist(), strict=True):
-        follow.setdefault(a, []).append(b)
-        follow.setdefault(b, [])
-    number: dict[int, int] = {}
-    low: dict[int, int] = {}
-    label: dict[int, int] = {}
-    waiting: list[int] = []
-    for root in follow:
-        if root in number:
-            continue
-        number[root] = low[root] = len(number)
-        waiting.append(root)
-        work = [(root, iter(follow[root]))]
-        while work:
-            v, todo = work[-1]
-            for n in todo:
-                if n not in number:
-                    number[n] = low[n] = len(number)
-                    waiting.append(n)
-                    work.append((n, iter(follow[n])))
-                    break
-                if n not in label:
-                    low[v] = min(low[v], number[n])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == number[v]:
-                    cut = waiting.index(v) if waiting[-1] != v else len(waiting) - 1
-                    members = waiting[cut:]
-                    del waiting[cut:]
-                    for m in members:
-                        label[m] = min(members)
-    return pd.DataFrame({"id": list(label), "scc": list(label.values())}, dtype="int64")
+            return out
+        out = out.unionByName(peeled)
+        gain = peeled.select(F.col("parent").alias("id"), (F.col("size") + 1).alias("size"))
+        gone = peeled.select(F.col("id").alias("src"))
+        kept = sizes.join(peeled.select("id"), "id", "left_anti").unionByName(gain).groupBy("id").agg(F.sum("size").alias("size"))
+        nxt_sizes, nxt_live = write_table(kept, "sizes"), write_table(live.join(gone, "src", "left_anti"), "peel")
+        drop_table(live)
+        sizes, live = nxt_sizes, nxt_live
+    sized = live.join(sizes.withColumnRenamed("id", "src"), "src", "left").select("src", "dst", F.coalesce("size", F.lit(0)).alias("size"))
+    return out.unionByName(kernels.in_one_task(sized, kernels.peeled, "id bigint, parent bigint, size bigint"))
 
 
 def scc_labels(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """id, scc: the smallest id of each vertex's strongly connected component.
 
-    Trimming settles vertices on no cycle. What is left goes to one task if it is
-    below ``kernel_edges``; otherwise colours spread: each vertex takes the
-    smallest id that reaches it, and the part of a colour that reaches back to its
-    root is a component.
+    A graph of up to ``kernel_edges`` edges goes to one task. A larger one is
+    trimmed first, which settles vertices on no cycle; if it is still too large,
+    colours spread: each vertex takes the smallest id that reaches it, and the part
+    of a colour that reaches back to its root is a component.
     """
-    core = trim(without_loops(edges.select("src", "dst")).distinct())
+    core = write_table(without_loops(edges.select("src", "dst")).distinct(), "pairs")
+    if core.count() > kernel_edges:
+        core = trim(core, kernel_edges)
     if core.count() <= kernel_edges:
-        found = core.groupBy(F.lit(0).alias("all")).applyInPandas(_tarjan, "id bigint, scc bigint")
+        found = kernels.in_one_task(core, kernels.strong_components, "id bigint, scc bigint")
     else:
         found = _colour_components(core)
     return vertices(edges).join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
@@ -204,29 +196,51 @@ def tree_parents(edges: DataFrame) -> DataFrame:
     return e.select("src", "dst").join(single, "src", "left_semi").join(a, "src").join(b, "dst").where("sa <> sb").select(F.col("src").alias("id"), F.col("dst").alias("parent"))
 
 
-def tree_ancestors(parents: DataFrame) -> DataFrame:
-    """id, up, depth, child: every ancestor of each tree vertex, with the child of it that the way passes."""
-    level = write_table(parents.select("id", F.col("parent").alias("up"), F.lit(1).alias("depth"), F.col("id").alias("child")), "up")
-    out = level
-    step = parents.select(F.col("id").alias("up"), F.col("parent").alias("next"))
-    while level.limit(1).count():
-        level = write_table(level.join(step, "up").select("id", F.col("next").alias("up"), (F.col("depth") + 1).alias("depth"), F.col("up").alias("child")), "up")
-        out = out.unionByName(level)
-    return out
+def tree_places(parents: DataFrame) -> DataFrame:
+    """id, root, depth, size of all vertices of a forest (id, parent); size counts descendants.
+
+    Pointers double: after k rounds each vertex points to its ancestor 2^k above, and
+    size counts what lies less than 2^k below. So rounds are logarithmic in the depth.
+    """
+    ids = parents.select(F.explode(F.array("id", "parent")).alias("id")).distinct()
+    one = F.lit(1).cast("bigint")
+    state = write_table(
+        ids.join(parents, "id", "left").select("id", F.col("parent").alias("jump"), F.coalesce("parent", "id").alias("root"), F.when(F.col("parent").isNotNull(), one).otherwise(F.lit(0)).alias("depth"), one.alias("size")),
+        "forest",
+    )
+    while state.where("jump IS NOT NULL").limit(1).count():
+        above = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("root").alias("top"), F.col("depth").alias("further"))
+        below = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
+        nxt = write_table(
+            state.join(above, "jump", "left").join(below, "id", "left").select(
+                "id", F.col("next").alias("jump"), F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")
+            ),
+            "forest",
+        )
+        drop_table(state)
+        state = nxt
+    return state.select("id", "root", "depth", (F.col("size") - 1).alias("size"))
 
 
 def in_tree_sizes(edges: DataFrame) -> DataFrame:
     """id, root, depth, size: place of every vertex in the forest of ``tree_parents``; size counts descendants."""
-    parents = write_table(tree_parents(edges), "parents")
-    up = write_table(tree_ancestors(parents), "ancestors")
-    size = up.groupBy(F.col("up").alias("id")).agg(F.count("*").alias("size"))
-    top = up.groupBy("id").agg(F.max_by("up", "depth").alias("root"), F.max("depth").alias("depth"))
-    return (
-        vertices(edges).join(size, "id", "left").join(top, "id", "left")
-        .select("id", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
-    )
+    places = tree_places(write_table(tree_parents(edges), "parents"))
+    none = F.lit(0).cast("bigint")
+    return vertices(edges).join(places, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.coalesce("depth", none).alias("depth"), F.coalesce("size", none).alias("size"))
 
 
-def rank_adjacent(edges: DataFrame) -> DataFrame:
-    """Edges with their place among those of one source, by neighbour."""
-    return edges.withColumn("place", F.row_number().over(W.partitionBy("src").orderBy("dst")))
+def breadth_first_order(edges: DataFrame) -> DataFrame:
+    """id, level, place: vertices by the number of steps, along edges or against them, from their component's smallest id.
+
+    ``place`` numbers them 0, 1, ... by that id, level and id, so neighbours get
+    near numbers.
+    """
+    both = write_table(without_loops(edges).select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst").distinct(), "both")
+    part = _spread(vertices(edges).select("id", F.col("id").alias("label")), both.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    seen = write_table(part.where("id = label").select("id", F.col("label").alias("root"), F.lit(0).cast("bigint").alias("level")), "seen")
+    front = seen
+    while front.limit(1).count():
+        step = both.join(front, both["src"] == front["id"]).select(F.col("dst").alias("id"), "root", (F.col("level") + 1).alias("level")).distinct()
+        front = write_table(step.join(seen.select("id"), "id", "left_anti"), "seen")
+        seen = seen.unionByName(front)
+    return numbered(write_table(seen, "levels"), ["root", "level", "id"], "place").select("id", "level", (F.col("place") - 1).alias("place"))
