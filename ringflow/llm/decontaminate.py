@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +23,9 @@ from ._text import WordHashes, filter_rows, id_text, map_rows, mix, utf8
 
 # Spaced seeds of weight 5. For every pair of near substitutions one of them fits between.
 SEEDS = ("11111", "1101101", "11001011", "101100101", "1010011001")
+#: Items of up to SHORT tokens are met by every mask of as many ones: wherever five of their tokens agree, one of them fits.
+SHORT = 8
+SHORT_SEEDS = tuple(m for span in range(6, SHORT + 1) for ones in combinations(range(1, span - 1), 3) if (m := "".join("1" if k in (0, *ones, span - 1) else "0" for k in range(span))) not in SEEDS)
 #: Share of an item's tokens that must stand in the document, in order at one shift or over several.
 MIN_OVERLAP = 0.6
 #: Tokens of a passage, and how many of them must agree; a passage leaks its item however long that is.
@@ -83,10 +87,12 @@ class SeedIndex:
         self.hashes = WordHashes()
         self.items = [(i, h) for i, t in items if len(h := self.hashes.of(tokens(t)))]
         self.by_seed = []
-        for seed in SEEDS:
+        every = range(len(self.items))
+        few = [n for n in every if min(map(len, SHORT_SEEDS)) <= len(self.items[n][1]) <= SHORT]
+        for seed, numbers in [(s, every) for s in SEEDS] + [(s, few) for s in SHORT_SEEDS if few]:
             keys, owner, at = [], [], []
-            for n, (_, h) in enumerate(self.items):
-                k = seed_hashes(h, seed)
+            for n in numbers:
+                k = seed_hashes(self.items[n][1], seed)
                 keys.append(k)
                 owner.append(np.full(len(k), n))
                 at.append(np.arange(len(k)))
@@ -99,7 +105,7 @@ class SeedIndex:
         self.size = np.array([len(h) for _, h in self.items], np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.flat = np.concatenate([h for _, h in self.items]) if self.items else np.empty(0, np.uint64)
-        # items shorter than the shortest seed can only be met whole
+        # items shorter than any seed can only be met whole
         self.short = {h.tobytes(): [] for _, h in self.items if len(h) < min(map(len, SEEDS))}
         for n, (_, h) in enumerate(self.items):
             if h.tobytes() in self.short:
@@ -267,7 +273,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_O
     item. The benchmark is taken in
     chunks of proven size, each broadcast for one pass over the documents; no
     document leaves its task. Null, empty or token-less texts and items match
-    nothing; items of fewer tokens than a seed are met whole. Null ids stay null;
+    nothing; items of fewer tokens than a seed are met whole, and of any other item
+    five tokens at least must agree. Null ids stay null;
     repeated document rows give repeated results, repeated items one. Empty
     tables give an empty result; other columns are ignored.
     """
