@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import write_table
+from ._store import drop_table, write_table
 from ._text import WordHashes, id_text, map_rows, mix, utf8, window_hashes
 from .components import UnionFind, components
 
@@ -196,7 +196,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     met = sets.join(hinted(roles), "id").select("a", "salt", "member", "id", "shingles")
-    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(check, "a long, b long")
+    found = write_table(met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(check, "a long, b long"), "verified")
+    drop_table(roles)
+    return found
 
 
 class Bucket:
@@ -321,7 +323,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     star = write_table(star, "pairs")
     needed = classes.select("id", "doc_id", "mark").join(hinted(crowded.select("id").distinct()), "id", "left_semi")
     sets = write_table(full_sets(d.where("doc_id IS NOT NULL"), needed).distinct(), "sets")
-    links = write_table(verify(star, sets), "verified")
+    links = verify(star, sets)
     # what the leaders left apart: pairs of different components in one bucket
     comp = components(links)
     known = write_table(crowded.join(hinted(comp), crowded["id"] == comp["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "known")
@@ -331,8 +333,8 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = write_table(prospects(apart.join(sketched, "id")), "near")
     met = apart.join(near, ["key", "tiles", "id"], "left_semi")
     full = sketch_of.join(hinted(near.select("id").distinct()), "id", "left_semi").join(sets, "id")
-    links = links.unionByName(write_table(cross_links(met.join(full, "id")), "verified"))
-    comp = components(links)
+    more = write_table(cross_links(met.join(full, "id")), "verified")
+    comp = components(links.unionByName(more))
     # the row that stays for each group of several classes: that of the smallest id
     owner = classes.select("id", "name", "doc_id", "row", "mark", "rows")
     grouped = owner.join(hinted(comp), owner["id"] == comp["node"])
@@ -343,6 +345,8 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     # rows alone in their class and group need nothing from it; a class of many rows isn't brought together by a shuffle
     named = write_table(named, "named")
+    # what is left to be read is written by now
+    drop_table(classes, buckets, crowded, star, sets, links, more, known, apart, near, first)
     many = max(CLASS_ROWS, rows.count() // BROADCAST_KEYS)  # so there are BROADCAST_KEYS larger ones at most
     side = lambda df, mark: df.select("name", *[F.col(c).alias(f"{mark}_{c}") for c in ("component_id", "stays", "stays_mark")])
     own = rows.select("doc_id", "mark", "n", "name", "row").join(F.broadcast(side(named.where(F.col("rows") > many), "l")), "name", "left")

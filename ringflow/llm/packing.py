@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import write_table
+from ._store import drop_table, write_table
 from ._text import CACHE_WORDS, id_text, map_rows
 
 CAPACITY = 4096
@@ -308,7 +308,9 @@ def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: in
         own = state.select("shard", "island", F.col("elites").alias("own"))
         come = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elites").alias("come"))
         ready = problem.select("shard", "island", "length").join(own, ["shard", "island"]).join(come, ["shard", "island"])
-        state = write_table(spread(ready.select("shard", "island", "length", F.array_distinct(F.concat("own", "come")).alias("elites"))).mapInArrow(epoch(number), schema), "islands")
+        nxt = write_table(spread(ready.select("shard", "island", "length", F.array_distinct(F.concat("own", "come")).alias("elites"))).mapInArrow(epoch(number), schema), "islands")
+        drop_table(state)
+        state = nxt
     best = state.groupBy("shard").agg(F.min(F.struct("bins", "wasted", "island", "elites")).alias("b")).select("shard", F.col("b.elites")[0].alias("solution"))
     share = OPEN_SHARE if shards > 1 else 0.0
 
@@ -330,7 +332,9 @@ def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: in
                 yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "length": pa.array(size, pa.int32()), "sequence_id": pa.array(seq, pa.int64()), "offset": pa.array(off, pa.int64()), "open": pa.array(again, pa.bool_())})
 
     placed = problem.where("island = 0").select("shard", "uid", "length").join(best, "shard").mapInArrow(place, "uid long, length int, sequence_id long, offset long, open boolean")
-    return write_table(placed, "placed")
+    placed = write_table(placed, "placed")
+    drop_table(problem, state)
+    return placed
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import write_table
+from ._store import drop_table, write_table
 from ._text import WordHashes, id_text, slices, utf8, window_hashes
 
 WINDOW = 35
@@ -334,7 +334,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, hot_
     for length in levels(window, base):
         level = Level(window, length, before, parts)
         candidates = first_candidates(d, level) if found is None else next_candidates(texts, found, level)
-        found = write_table(repeats(candidates, level.last, parts), "repeats")
+        below, found = found, write_table(repeats(candidates, level.last, parts), "repeats")
+        if below is not None:
+            drop_table(below)
         before = length
         if not found.limit(1).count():
             break  # no candidate survives
