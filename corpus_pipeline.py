@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, near-duplicates, benchmark leaks, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before
-it kept; all but the last return the columns of ``documents``.
+it kept; all but the last return the columns of ``documents``, whatever others stand
+beside doc_id and text. Null and repeated ids, null and empty texts, repeated rows
+and empty tables are taken by every stage as its operator states.
 """
 
 from __future__ import annotations
@@ -17,30 +19,33 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the noisy-or model rejects go; the model learns from the labelled ones among ``docs``."""
+    """Documents that the noisy-or model rejects go; the model learns from the labelled ones among ``docs``.
+
+    Null and empty texts stay. Without labels, or with labels of one class alone, see ``toxicity.train``.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
+    """One document of each near-duplicate group stays, that of the smallest id; rows without id and texts without words stay."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, or a passage of one, go; without items all stay."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its findings are replaced, and n_chars follows."""
+    """Every document stays; its findings are replaced, and n_chars follows (null for a null text)."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of at most 4096 tokens."""
+    """Places of all pieces in sequences of at most 4096 tokens; a null or empty text is one piece of the end id alone."""
     return packing.pack_documents(docs)
 
 
