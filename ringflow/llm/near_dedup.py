@@ -39,10 +39,10 @@ PLACES = BANDS * ROWS
 FLOOR = 0.53
 #: Members of a bucket that one task compares; of a larger one every two tiles meet.
 TILE = 4096
-#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: The same for pairs of an id and a text's mark, about 100 bytes each.
-BROADCAST_KEYS = 500_000
+#: What may be broadcast, in bytes of its rows (hashed they take some four times as many); more is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a row: an id or two, a pair's role, an id and text with what belongs to them.
+ID, ROLE, KEY = 8, 24, 40
 #: Rows of one class that a shuffle by class may bring together; larger classes are few and broadcast.
 CLASS_ROWS = 4096
 #: Pairs of one leader that are verified in one place.
@@ -142,9 +142,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "doc_id long, mark long, n long, name binary, sig binary, bands array<long>")
 
 
-def hinted(small: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """``small`` (a few longs a row) marked for broadcast if its rows are below the bound; otherwise the join shuffles."""
-    return F.broadcast(small) if small.count() <= most else small
+def hinted(small: DataFrame, row_bytes: int = ID) -> DataFrame:
+    """``small``, a table, marked for broadcast if its rows are below the bound in bytes; otherwise the join shuffles."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
+def ids_of(rows: DataFrame) -> DataFrame:
+    return write_table(rows.select("id").distinct(), "ids")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
         return work
 
-    return map_rows(docs.join(hinted(classes, BROADCAST_KEYS), ["doc_id", "mark"]).select("id", "text"), make, "id long, shingles binary")
+    return map_rows(docs.join(hinted(classes, KEY), ["doc_id", "mark"]).select("id", "text"), make, "id long, shingles binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -195,7 +199,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out_b.append(x)
             yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    met = sets.join(hinted(roles), "id").select("a", "salt", "member", "id", "shingles")
+    met = sets.join(hinted(roles, ROLE), "id").select("a", "salt", "member", "id", "shingles")
     found = write_table(met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(check, "a long, b long"), "verified")
     drop_table(roles)
     return found
@@ -321,33 +325,33 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select(F.col("leader").alias("a"), F.col("id").alias("b"))
     )
     star = write_table(star, "pairs")
-    needed = classes.select("id", "doc_id", "mark").join(hinted(crowded.select("id").distinct()), "id", "left_semi")
+    needed = classes.select("id", "doc_id", "mark").join(hinted(met_ids := ids_of(crowded)), "id", "left_semi")
     sets = write_table(full_sets(d.where("doc_id IS NOT NULL"), needed).distinct(), "sets")
     links = verify(star, sets)
     # what the leaders left apart: pairs of different components in one bucket
     comp = components(links)
-    known = write_table(crowded.join(hinted(comp), crowded["id"] == comp["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "known")
+    known = write_table(crowded.join(hinted(comp, 2 * ID), crowded["id"] == comp["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "known")
     sizes = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     apart = write_table(in_tiles(known, sizes), "apart")
-    sketched = sketch_of.join(hinted(apart.select("id").distinct()), "id", "left_semi")
+    sketched = sketch_of.join(hinted(apart_ids := ids_of(apart)), "id", "left_semi")
     near = write_table(prospects(apart.join(sketched, "id")), "near")
     met = apart.join(near, ["key", "tiles", "id"], "left_semi")
-    full = sketch_of.join(hinted(near.select("id").distinct()), "id", "left_semi").join(sets, "id")
+    full = sketch_of.join(hinted(near_ids := ids_of(near)), "id", "left_semi").join(sets, "id")
     more = write_table(cross_links(met.join(full, "id")), "verified")
     comp = components(links.unionByName(more))
     # the row that stays for each group of several classes: that of the smallest id
     owner = classes.select("id", "name", "doc_id", "row", "mark", "rows")
-    grouped = owner.join(hinted(comp), owner["id"] == comp["node"])
+    grouped = owner.join(hinted(comp, 2 * ID), owner["id"] == comp["node"])
     first = write_table(grouped.groupBy("comp").agg(F.min(F.struct("doc_id", "name", "row", "mark")).alias("x")).select("comp", "x.doc_id", "x.row", "x.mark"), "first")
-    of_node = comp.join(hinted(first, BROADCAST_KEYS), "comp").select("node", F.col("doc_id").alias("f_id"), F.col("row").alias("f_row"), F.col("mark").alias("f_mark"))
+    of_node = comp.join(hinted(first, KEY), "comp").select("node", F.col("doc_id").alias("f_id"), F.col("row").alias("f_row"), F.col("mark").alias("f_mark"))
     named = owner.join(of_node, owner["id"] == of_node["node"], "left").where("rows > 1 OR f_id IS NOT NULL").select(
         "name", "rows", F.coalesce("f_id", "doc_id").alias("component_id"), F.coalesce("f_row", "row").alias("stays"), F.coalesce("f_mark", "mark").alias("stays_mark")
     )
     # rows alone in their class and group need nothing from it; a class of many rows isn't brought together by a shuffle
     named = write_table(named, "named")
     # what is left to be read is written by now
-    drop_table(classes, buckets, crowded, star, sets, links, more, known, apart, near, first)
-    many = max(CLASS_ROWS, rows.count() // BROADCAST_KEYS)  # so there are BROADCAST_KEYS larger ones at most
+    drop_table(classes, buckets, crowded, star, sets, links, more, known, apart, near, first, met_ids, apart_ids, near_ids)
+    many = max(CLASS_ROWS, rows.count() * KEY // BROADCAST_BYTES)  # so larger ones are few enough to be broadcast
     side = lambda df, mark: df.select("name", *[F.col(c).alias(f"{mark}_{c}") for c in ("component_id", "stays", "stays_mark")])
     own = rows.select("doc_id", "mark", "n", "name", "row").join(F.broadcast(side(named.where(F.col("rows") > many), "l")), "name", "left")
     alone = F.col("l_stays").isNotNull() | F.col("name").isNull()
@@ -357,7 +361,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # wordless texts have no class: only rows that repeat id and text count as one
     bare = rows.where("n = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.min("row").alias("bare_row"), F.count("*").alias("c")).where("c > 1")
     bare = write_table(bare.select(F.col("doc_id").alias("bare_id"), F.col("mark").alias("bare_mark"), "bare_row"), "bare")
-    own = own.join(hinted(bare, BROADCAST_KEYS), (F.col("n") == 0) & (F.col("doc_id") == F.col("bare_id")) & (F.col("mark") == F.col("bare_mark")), "left")
+    own = own.join(hinted(bare, KEY), (F.col("n") == 0) & (F.col("doc_id") == F.col("bare_id")) & (F.col("mark") == F.col("bare_mark")), "left")
     null_id = F.col("doc_id").isNull()
     out = own.select(
         "doc_id",
@@ -399,12 +403,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         return (docs["doc_id"].cast("long") == keys["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == keys["mark"])
 
     if not again.limit(1).count():
-        return docs.join(hinted(gone, BROADCAST_KEYS), same(gone), "left_anti")
+        return docs.join(hinted(gone, KEY), same(gone), "left_anti")
     # an id and text that several rows repeat: one of them
-    repeated = docs.join(hinted(again, BROADCAST_KEYS), same(again), "left_semi").select(F.struct(*docs.columns).alias("row"))
+    repeated = docs.join(hinted(again, KEY), same(again), "left_semi").select(F.struct(*docs.columns).alias("row"))
     by = [F.col("row.doc_id"), F.xxhash64(F.col("row.text").cast("string"))]
     once = repeated.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(by)]).agg(F.first("row").alias("row")).select("row.*")
-    return docs.join(hinted(dropped, BROADCAST_KEYS), same(dropped), "left_anti").unionByName(once)
+    return docs.join(hinted(dropped, KEY), same(dropped), "left_anti").unionByName(once)
 
 
 def oracle_sql() -> str:
