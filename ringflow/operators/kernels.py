@@ -119,6 +119,10 @@ def strong_components(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]
     return {"id": ids, "scc": ids[np.array(label, np.int64)]}
 
 
+#: The distance of what isn't reached.
+FAR = np.iinfo(np.int64).max
+
+
 class ShortestPaths:
     """Shortest paths from many sources at once: all vertices of one distance are settled together, for all sources."""
 
@@ -151,10 +155,19 @@ class ShortestPaths:
             score += times[part].astype(float) @ delta
         return score, reached
 
-    def _dependencies(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def distances(self, sources: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(source, vertex, distance) of all pairs that ``sources`` (places) reach, themselves included, some sources at a time."""
+        n = len(self.ids)
+        step = max(1, self.PAIRS // max(1, n))
+        for k in range(0, len(sources), step):
+            dist, _, _ = self._search(sources[k : k + step])
+            pairs = np.flatnonzero(dist < FAR)
+            yield self.ids[sources[k + pairs // n]], self.ids[pairs % n], dist[pairs]
+
+    def _search(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distances and numbers of shortest paths of all pairs, and the pairs by rising distance."""
         n, m = len(self.ids), len(sources)
-        far = np.iinfo(np.int64).max
-        dist, ways = np.full(m * n, far), np.zeros(m * n)
+        dist, ways = np.full(m * n, FAR), np.zeros(m * n)
         first = np.arange(m) * n + sources
         dist[first], ways[first] = 0, 1.0
         waiting: dict[int, list[np.ndarray]] = {0: [first]}
@@ -185,6 +198,11 @@ class ShortestPaths:
             cuts = np.r_[0, np.flatnonzero(np.diff(come)) + 1, len(come)]
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 waiting.setdefault(int(come[lo]), []).append(to[lo:hi])
+        return dist, ways, order
+
+    def _dependencies(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, m = len(self.ids), len(sources)
+        dist, ways, order = self._search(sources)
         delta = np.zeros(m * n)
         for pairs in reversed(order):
             which, to, w = self._edges(pairs)
@@ -192,5 +210,5 @@ class ShortestPaths:
             which, to = which[on], to[on]
             if len(to):
                 delta[pairs] = ways[pairs] * np.bincount(which, weights=(1 + delta[to]) / ways[to], minlength=len(pairs))
-        delta[first] = 0.0
-        return delta.reshape(m, n), (dist.reshape(m, n) < far).sum(axis=1) - 1
+        delta[np.arange(m) * n + sources] = 0.0
+        return delta.reshape(m, n), (dist.reshape(m, n) < FAR).sum(axis=1) - 1
