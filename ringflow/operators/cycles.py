@@ -61,15 +61,17 @@ class CyclePlan:
                 rule = _all([new > F.col("v1"), *[new != F.col(f"v{i}") for i in range(2, k - 1)], *self._ratio("last", "amount")])
                 df = p.join(n, f"v{k - 1}").where(rule).select(*[f"v{i}" for i in range(1, k + 1)], "first", F.col("amount").alias("last"))
                 if k == self.half and self.most > self.half:
-                    df = df.join(self.returning(max(0, self.least - self.half), self.most - self.half).withColumnRenamed("h", f"v{k}"), ["v1", f"v{k}"], "left_semi").select(*df.columns)
+                    df = df.join(self._pairs_back(max(0, self.least - self.half), self.most - self.half).withColumnRenamed("h", f"v{k}"), ["v1", f"v{k}"], "left_semi").select(*df.columns)
             # single edges are at hand, and the last step of a search is read once
             self._open[k] = write_table(df, f"open{k}") if 2 < k < self.most else df
         return self._open[k]
 
     def returning(self, least: int, most: int) -> DataFrame:
         """v1, h: from h a way of ``least`` to ``most`` vertices between leads back to v1, all of them above v1."""
-        pairs = [self.ways_back(m).select("v1", "h") for m in range(least, most + 1)]
-        return reduce(lambda a, b: a.unionByName(b), pairs).distinct()
+        return self._pairs_back(least, most).distinct()
+
+    def _pairs_back(self, least: int, most: int) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), [self.ways_back(m).select("v1", "h") for m in range(least, most + 1)])
 
     def ways_back(self, m: int) -> DataFrame:
         """v1, h, b1..bm, first_back, last_back: ways h -> b1 -> ... -> bm -> v1, all of them above v1."""
