@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Text bytes handled at once inside a task.
 SLICE_BYTES = 8 << 20
 #: Distinct words a worker remembers before it starts anew.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ RIDGE = 2e-4
 SENTENCE_WORDS = 40
 EPOCHS = 150
 THRESHOLD = 0.3
-WORD_CACHE = 1 << 20
+WORD_CACHE = 1 << 18
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
