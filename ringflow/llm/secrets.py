@@ -52,7 +52,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
     One pass marks them, then lengths add up to places: first over blocks of
     findings, then inside each.
     """
-    clean = F.translate(text, START + PART, OTHER + OTHER)
+    clean = F.when(text.contains(START) | text.contains(PART), F.translate(text, START + PART, OTHER + OTHER)).otherwise(text)
     pieces = F.split(F.regexp_replace(clean, pattern, f"{START}$0{PART}${group}{PART}"), START, -1)
     empty = F.array().cast(SPAN)
 
