@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import drop_table, write_table
-from ._text import CACHE_WORDS, id_text, map_rows
+from ._text import id_text, map_rows
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,8 +40,9 @@ POPULATION = 4
 ELITES = 2
 #: Share of a shard's pieces that may go on to the next level, those of the emptiest sequences first; so levels shrink.
 OPEN_SHARE = 0.25
-#: Longest white-space part and run of letters that the fast path takes, and longest part remembered.
+#: Longest white-space part that the fast path takes and that is remembered, and how many are.
 FAST_PART = 256
+CACHE_PARTS = 1 << 19
 
 
 def tokenizer_path() -> str:
@@ -53,6 +55,13 @@ def tokenizer_path() -> str:
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u024f]+")
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def _u32(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+
 class WordBpe(dict):
     """The tokenizer's ids of texts, white-space part by white-space part, each part's remembered as bytes (little-endian u32).
 
@@ -98,16 +107,19 @@ class WordBpe(dict):
         return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def by_tokenizer(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _u32(self.whole.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, part: str) -> bytes:
         if len(part) > FAST_PART:
             return self.by_tokenizer(part)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_PARTS:
             self.clear()
-        if self.core is not None and _PLAIN.fullmatch(part):
-            encode = self.core.encode_single_piece
-            out = np.array([i for w in self.pattern.findall(part.lower()) for i in encode(w.encode() + b"\xff")], "<u4").tobytes()
+        if self.core is not None and (part.isascii() and part.isalpha() or _PLAIN.fullmatch(part)):
+            low, encode = part.lower(), self.core.encode_single_piece
+            if low.isalpha():  # one word of the pattern
+                out = _u32(encode(low.encode() + b"\xff"))
+            else:
+                out = b"".join([_u32(encode(w.encode() + b"\xff")) for w in self.pattern.findall(low)])
         else:
             out = self.by_tokenizer(part)
         self[part] = out
@@ -199,8 +211,8 @@ class Packer:
             room = self.capacity - self.load(b)
             if room and waiting:
                 swaps = [(j,) for j in b] + [(j, k) for x, j in enumerate(b) for k in b[x + 1 :]]
-                self.rng.shuffle(swaps)
-                for swap in swaps:
+                begin = self.rng.randrange(len(swaps))
+                for swap in swaps[begin:] + swaps[:begin]:
                     freed = sum(sizes[j] for j in swap)
                     at = bisect_left(keys, freed + room + 1) - 1  # the largest that fits in place of ``swap``
                     if at >= 0 and keys[at] > freed:
@@ -238,18 +250,19 @@ class Packer:
     def evolve(self, elites: list[list[list[int]]], generations: int, population: int) -> list[list[list[int]]]:
         if not self.sizes:
             return [[]]
-        done = lambda bins: len(bins) <= self.least and not self.wasted(bins)
-        herd = list(elites) or [self.first(0.0)]
-        while len(herd) < population and not done(herd[0]):
-            herd.append(self.first(0.1 * len(herd)))
-        herd.sort(key=self.fitness, reverse=True)
+        scored = lambda bins: (self.fitness(bins), bins)
+        best = (-self.least, 0)  # no solution has fewer sequences or less room in all but one of them
+        herd = [scored(bins) for bins in elites or [self.first(0.0)]]
+        while len(herd) < population and herd[0][0] < best:
+            herd.append(scored(self.first(0.1 * len(herd))))
+        herd.sort(key=lambda x: x[0], reverse=True)
         for _ in range(generations):
-            if done(herd[0]):
+            if herd[0][0] >= best:
                 break
             one, two = self.rng.sample(herd, 2) if len(herd) > 1 else (herd[0], herd[0])
-            herd += [self.crossover(one, two), self.mutate(herd[0])]
-            herd = sorted(herd, key=self.fitness, reverse=True)[:population]
-        return herd
+            herd += [scored(self.crossover(one[1], two[1])), scored(self.mutate(herd[0][1]))]
+            herd = sorted(herd, key=lambda x: x[0], reverse=True)[:population]
+        return [bins for _, bins in herd]
 
     def unfinished(self, bins: list[list[int]], share: float) -> list[int]:
         """Numbers of the bins with room, the emptiest first, as far as they hold at most ``share`` of all items."""
