@@ -58,3 +58,13 @@ def test_distances_are_dealt_out(spark, as_many_partitions_as_tasks):
     e = table(spark, graph(3, 60, 150, (1, 2, 3)))
     sources = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     assert C.shortest_distances(e, sources).select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("kernel", [C.KERNEL_EDGES, 0])
+def test_path_edges(spark, kernel):
+    edges = graph(4, 15, 30, (1, 2, 3)) + [(3, 4, 1), (3, 4, 1), (3, 4, 0)]
+    near = plain_distances([e for e in edges if e[2]])
+    sources = sorted({s for s, _ in near})[::2]
+    expected = [(s, a, b) for s in sources for a, b, w in edges if w and (s, a) in near and near[s, a] + w == near[s, b]]
+    found = C.all_shortest_path_edges(table(spark, edges), spark.createDataFrame([(s,) for s in [*sources, 99]], "id bigint"), kernel)
+    assert found.columns == ["s", "u", "v"] and sorted(map(tuple, found.collect())) == sorted(expected)
