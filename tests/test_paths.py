@@ -68,3 +68,16 @@ def test_path_edges(spark, kernel):
     expected = [(s, a, b) for s in sources for a, b, w in edges if w and (s, a) in near and near[s, a] + w == near[s, b]]
     found = C.all_shortest_path_edges(table(spark, edges), spark.createDataFrame([(s,) for s in [*sources, 99]], "id bigint"), kernel)
     assert found.columns == ["s", "u", "v"] and sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("kernel", [C.KERNEL_EDGES, 0])
+def test_path_counts(spark, kernel):
+    edges = graph(5, 15, 40, (1, 2)) + [(3, 4, 1), (3, 4, 1), (3, 4, 0)]
+    near = plain_distances([e for e in edges if e[2]])
+    sources = sorted({s for s, _ in near})[::2]
+    ways = {(s, s): 1 for s in sources}
+    for s, v in sorted(near, key=near.get):
+        if s in sources and s != v:
+            ways[s, v] = sum(ways[s, a] for a, b, w in edges if w and b == v and (s, a) in near and near[s, a] + w == near[s, v])
+    found = C.all_shortest_path_counts(table(spark, edges), spark.createDataFrame([(s,) for s in [*sources, 99]], "id bigint"), kernel).collect()
+    assert len(found) == len(ways) + 1 and {(r["s"], r["v"]): r["sigma"] for r in found} == ways | {(99, 99): 1}
