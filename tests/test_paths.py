@@ -81,3 +81,9 @@ def test_path_counts(spark, kernel):
             ways[s, v] = sum(ways[s, a] for a, b, w in edges if w and b == v and (s, a) in near and near[s, a] + w == near[s, v])
     found = C.all_shortest_path_counts(table(spark, edges), spark.createDataFrame([(s,) for s in [*sources, 99]], "id bigint"), kernel).collect()
     assert len(found) == len(ways) + 1 and {(r["s"], r["v"]): r["sigma"] for r in found} == ways | {(99, 99): 1}
+
+
+def test_scores_are_dealt_out(spark, as_many_partitions_as_tasks):
+    e = table(spark, graph(6, 60, 150, (1, 2, 3)))
+    starts = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("times", F.lit(1))
+    assert C._in_tasks(e, starts)[1].select(F.input_file_name()).distinct().count() > 1
