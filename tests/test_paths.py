@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringflow.operators import centrality as C
-from ringflow.operators.kernels import ShortestPaths
+from ringflow.operators.kernels import ShortestPaths, same_search
 from tests import oracles
 
 
@@ -87,3 +87,46 @@ def test_scores_are_dealt_out(spark, as_many_partitions_as_tasks):
     e = table(spark, graph(6, 60, 150, (1, 2, 3)))
     starts = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("times", F.lit(1))
     assert C._in_tasks(e, starts)[1].select(F.input_file_name()).distinct().count() > 1
+
+
+def arrays(edges):
+    return [np.array(c, np.int64) for c in zip(*edges, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_scores_of_some_sources(seed):
+    # rings, tails and loops by way of what hangs: few edges for a vertex
+    rng = random.Random(seed)
+    n = rng.choice((4, 8, 15, 25))
+    edges = graph(seed, n, int(n * rng.choice((0.7, 1, 1.3, 2, 3))), rng.choice(((1,), (1, 2, 3)))) + [(100, 101, 1), (101, 102, 1), (102, 100, 1), (100, 103, 2)]
+    found = ShortestPaths(*arrays(edges))
+    found.PAIRS, found.COLUMNS = rng.choice(((1 << 21, 512), (40, 4), (1, 1)))
+    near = plain_distances(edges)
+    some = sorted(rng.sample(sorted({s for s, _ in near}), rng.randrange(1, n // 2 + 2)))
+    score, reached = found.scores(np.searchsorted(found.ids, some), np.full(len(some), 3))
+    assert dict(zip(found.ids.tolist(), (score / 3).tolist(), strict=True)) == pytest.approx(oracles.betweenness(edges, some))
+    assert reached.tolist() == [sum(s == v for s, _ in near) - 1 for v in some]
+
+
+def test_scores_take_fewer_searches_and_rows(monkeypatch):
+    searched, search = [], ShortestPaths._search
+
+    def counted(self, sources):
+        found = search(self, sources)
+        searched.append((len(sources), len(found.v)))
+        return found
+
+    monkeypatch.setattr(ShortestPaths, "_search", counted)
+    edges = graph(8, 200, 400, (1, 2, 3))
+    found = ShortestPaths(*arrays(edges))
+    found.COLUMNS = 8
+    n = len(found.ids)
+    score, _ = found.scores(np.arange(n), np.ones(n, np.int64))
+    assert dict(zip(found.ids.tolist(), score.tolist(), strict=True)) == pytest.approx(oracles.betweenness(edges))
+    assert sum(sources for sources, _ in searched) < 0.7 * n and max(rows for _, rows in searched) < 0.7 * n
+
+
+def test_same_search():
+    # 1 -> 2 -> 3 by vertices with two ways in; 3 has two ways on
+    found = same_search(*arrays([(1, 2, 1), (9, 2, 1), (2, 3, 1), (8, 3, 1), (3, 1, 1), (7, 1, 1), (3, 9, 1), (3, 8, 1), (3, 7, 1)]))
+    assert dict(zip(found["id"].tolist(), found["search"].tolist(), strict=True)) == {1: 3, 2: 3, 9: 3, 8: 3, 7: 3}
