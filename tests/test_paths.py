@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringflow.operators import centrality as C
-from ringflow.operators.kernels import ShortestPaths, same_search
+from ringflow.operators.kernels import ShortestPaths, Trees, same_search
 from tests import oracles
 
 
@@ -130,3 +130,12 @@ def test_same_search():
     # 1 -> 2 -> 3 by vertices with two ways in; 3 has two ways on
     found = same_search(*arrays([(1, 2, 1), (9, 2, 1), (2, 3, 1), (8, 3, 1), (3, 1, 1), (7, 1, 1), (3, 9, 1), (3, 8, 1), (3, 7, 1)]))
     assert dict(zip(found["id"].tolist(), found["search"].tolist(), strict=True)) == {1: 3, 2: 3, 9: 3, 8: 3, 7: 3}
+
+
+def test_trees_keep_no_lists():
+    # a ring with what hangs from it, and a path: workers hold arrays of them alone
+    found = Trees(np.array([1, 2, 0, 5, 11, 12]), np.array([0, 1, 2, 1, 10, 11]), 14)
+    assert found.top[[10, 11, 12, 13]].tolist() == [10, 10, 10, 13] and len(set(found.top[[0, 1, 2, 5]].tolist())) == 1
+    assert found.gathered(np.ones(14))[[10, 11, 12, 13]].tolist() == [3, 2, 1, 1] and found.carried(np.ones(14))[[10, 11, 12]].tolist() == [1, 2, 3]
+    assert found.below(np.array([12, 5, 10]), np.array([11, 10, 12])).tolist() == [True, False, False]
+    assert all(isinstance(x, np.ndarray) for x in vars(found).values())
