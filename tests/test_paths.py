@@ -139,3 +139,34 @@ def test_trees_keep_no_lists():
     assert found.gathered(np.ones(14))[[10, 11, 12, 13]].tolist() == [3, 2, 1, 1] and found.carried(np.ones(14))[[10, 11, 12]].tolist() == [1, 2, 3]
     assert found.below(np.array([12, 5, 10]), np.array([11, 10, 12])).tolist() == [True, False, False]
     assert all(isinstance(x, np.ndarray) for x in vars(found).values())
+
+
+@pytest.mark.parametrize("kernel", [C.KERNEL_EDGES, 40])
+def test_joins_by_component(spark, monkeypatch, kernel):
+    # two parts of a graph and some pairs; at 40 edges one of them is joined row by row
+    edges = graph(9, 30, 70, (1, 2, 3)) + [(a + 100, b + 100, w) for a, b, w in graph(10, 15, 25, (1, 2))] + [(200 + k, 300 + k, 1) for k in range(9)]
+    sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).where("id % 3 > 0")
+    asked, by_joins = [], C._by_joins
+    monkeypatch.setattr(C, "_by_joins", lambda e, s, n: asked.append(e.count()) or by_joins(e, s, n))
+    monkeypatch.setattr(C, "BUNDLE_EDGES", 20)
+    found = C.betweenness_by_joins(table(spark, edges), sources, kernel_edges=kernel)
+    expected = oracles.betweenness(edges, sorted({x for a, b, _ in edges for x in (a, b) if x % 3}))
+    assert {r["id"]: r["score"] for r in found.collect()} == pytest.approx({v: s for v, s in expected.items() if s})
+    assert asked == ([] if kernel > 40 else [len(graph(9, 30, 70, (1, 2, 3)))])
+    every = C.betweenness(table(spark, edges), kernel_edges=kernel).collect()
+    assert {r["id"]: r["score"] for r in every} == pytest.approx(oracles.betweenness(edges))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_scores_by_rows_are_zero_only_where_nothing_passes(seed):
+    rng = random.Random(seed)
+    edges = graph(seed, 30, rng.choice((40, 70, 120)), rng.choice(((1,), (1, 2, 3)))) + [(100, k, 1) for k in range(101, 150)] + [(k, 150, 1) for k in range(101, 150)] + [(150, 151, 1)]
+    found = ShortestPaths(*arrays(edges))
+    found.PAIRS, found.COLUMNS = rng.choice(((1 << 21, 512), (40, 4)))
+    near = plain_distances(edges)
+    some = sorted(rng.sample(sorted({s for s, _ in near}), 40))
+    score, reached = found.scores_by_rows(np.searchsorted(found.ids, some), np.full(len(some), 2))
+    expected = oracles.betweenness(edges, some)
+    assert dict(zip(found.ids.tolist(), (score / 2).tolist(), strict=True)) == pytest.approx(expected)
+    assert [x > 0 for x in score.tolist()] == [expected[v] > 0 for v in found.ids.tolist()]
+    assert reached.tolist() == [sum(s == v for s, _ in near) - 1 for v in some]
