@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringflow.operators import centrality as C
-from ringflow.operators.kernels import ShortestPaths, Trees, same_search
+from ringflow.operators.kernels import Searched, ShortestPaths, Trees, same_search
 from tests import oracles
 
 
@@ -170,3 +170,39 @@ def test_scores_by_rows_are_zero_only_where_nothing_passes(seed):
     assert dict(zip(found.ids.tolist(), (score / 2).tolist(), strict=True)) == pytest.approx(expected)
     assert [x > 0 for x in score.tolist()] == [expected[v] > 0 for v in found.ids.tolist()]
     assert reached.tolist() == [sum(s == v for s, _ in near) - 1 for v in some]
+
+
+def test_paths_are_followed_in_few_layers(monkeypatch):
+    # nearly as many distances as pairs, but paths of a few steps
+    sizes, steps = [], Searched.steps
+
+    def counted(self, tight):
+        layers = steps(self, tight)
+        sizes.append((len(layers), self.dist.size))
+        return layers
+
+    monkeypatch.setattr(Searched, "steps", counted)
+    edges = graph(11, 60, 200, range(1000, 9000))
+    found = ShortestPaths(*arrays(edges))
+    found.FOLLOWED = 1 << 10
+    n = len(found.ids)
+    assert dict(zip(found.ids.tolist(), found.scores_by_rows(np.arange(n), np.ones(n, np.int64))[0].tolist(), strict=True)) == pytest.approx(oracles.betweenness(edges))
+    assert len(sizes) > 1 and max(layers for layers, _ in sizes) < 100 and max(size for _, size in sizes) <= 1 << 10
+
+
+@pytest.mark.parametrize("weights", [(1,), (1, 2, 3), (2**29, 2**30 + 1)])
+def test_layers_hold_all_ways_into_a_pair(weights):
+    edges = graph(12, 40, 130, weights) + [(1, 2, weights[0])] * 2 + [(100 + k, 101 + k, weights[0]) for k in range(30)]
+    found = ShortestPaths(*arrays(edges))
+    for _, near in found._followed(np.arange(len(found.ids))):
+        came, tight, layers = set(near.at * near.dist.shape[1] + np.arange(len(near.at))), near.tight(), near.steps(near.tight())
+        assert sum(len(to) for _, to in layers) == np.count_nonzero(tight)
+        for source, to in layers:
+            assert came.issuperset(source.tolist()) and came.isdisjoint(to.tolist())
+            came.update(to.tolist())
+
+
+def test_scores_broadcast_no_graph(spark, monkeypatch):
+    monkeypatch.setattr(C, "_broadcast_graph", None)
+    edges = graph(13, 20, 40, (1, 2))
+    assert {r["id"]: r["score"] for r in C.betweenness(table(spark, edges)).collect()} == pytest.approx(oracles.betweenness(edges))
