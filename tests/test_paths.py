@@ -206,3 +206,10 @@ def test_scores_broadcast_no_graph(spark, monkeypatch):
     monkeypatch.setattr(C, "_broadcast_graph", None)
     edges = graph(13, 20, 40, (1, 2))
     assert {r["id"]: r["score"] for r in C.betweenness(table(spark, edges)).collect()} == pytest.approx(oracles.betweenness(edges))
+
+
+def test_batches_row_by_row(spark):
+    edges = graph(14, 12, 24, (1, 2, 3))
+    sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = C.betweenness_by_joins(table(spark, edges), sources, batch_pairs=80, kernel_edges=0).collect()
+    assert {r["id"]: r["score"] for r in found} == pytest.approx({v: x for v, x in oracles.betweenness(edges).items() if x})
