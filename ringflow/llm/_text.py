@@ -18,6 +18,32 @@ SLICE_BYTES = 8 << 20
 CACHE_WORDS = 1 << 18
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands batches of about SLICE_BYTES to Python, unless a lower bound is set.
+
+    A batch stands several times in a task at once: in buffers that double as they grow,
+    in what is sent, and in the worker. Rows come in the same order, whatever the bound.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < held <= SLICE_BYTES:
+        conf.set(key, str(SLICE_BYTES))
+    return df
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker gives back what its allocators hold: it lives on for later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()  # what Python's objects have left in malloc
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about SLICE_BYTES of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -45,7 +71,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
                 out = work(part.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return bounded_batches(df).mapInArrow(releasing(run), struct)
 
 
 def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], text: str = "text") -> DataFrame:
@@ -57,7 +83,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
             for part in slices(batch, text):
                 yield part.filter(pa.array(keep(part.column(text).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(releasing(run), df.schema)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

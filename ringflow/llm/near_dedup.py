@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import drop_table, write_table
-from ._text import WordHashes, id_text, map_rows, mix, utf8, window_hashes
+from ._text import WordHashes, id_text, map_rows, mix, releasing, utf8, window_hashes
 from .components import UnionFind, components
 
 SHINGLE = 5
@@ -200,7 +200,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     met = sets.join(hinted(roles, ROLE), "id").select("a", "salt", "member", "id", "shingles")
-    found = write_table(met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(check, "a long, b long"), "verified")
+    found = write_table(met.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(releasing(check), "a long, b long"), "verified")
     drop_table(roles)
     return found
 
@@ -285,7 +285,7 @@ def prospects(rows: DataFrame) -> DataFrame:
         n = len(needed)
         return pa.RecordBatch.from_pydict({"key": pa.array([bucket.key] * n, pa.int64()), "tiles": pa.array([part.column("tiles")[0].as_py()] * n, pa.int32()), "id": pa.array(bucket.ids[sorted(needed)], pa.int64())})
 
-    return by_bucket(rows).mapInArrow(lambda batches: _buckets(batches, work), "key long, tiles int, id long")
+    return by_bucket(rows).mapInArrow(releasing(lambda batches: _buckets(batches, work)), "key long, tiles int, id long")
 
 
 def cross_links(rows: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def cross_links(rows: DataFrame) -> DataFrame:
                     b.append(bucket.ids[j])
         return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) if a else None
 
-    return by_bucket(rows).mapInArrow(lambda batches: _buckets(batches, work), "a long, b long")
+    return by_bucket(rows).mapInArrow(releasing(lambda batches: _buckets(batches, work)), "a long, b long")
 
 
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -158,17 +158,15 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     """(text, class) of labelled documents, chosen by hash: TRAIN_TOXIC and TRAIN_CLEAN ids, TRAIN_CHARS characters at most.
 
     The ids are picked from the labels alone and then broadcast, so no text but the
-    sample's own leaves its task. Texts above TRAIN_TEXT_CHARS, and those that would
+    sample's own leaves its task, and no rows pass through Python on the executors. Texts above TRAIN_TEXT_CHARS, and those that would
     exceed their class's share of TRAIN_CHARS, are left out one by one. Null ids, labels
     and texts teach nothing; an id labelled both ways is toxic; of an id's several
     texts each is learned from.
     """
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    spark = docs.sparkSession
     out = []
     for cls, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        ids = labelled.where(F.col("toxic") == cls).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()
-        sample = spark.createDataFrame(ids, "doc_id long")
+        sample = labelled.where(F.col("toxic") == cls).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").cast("long").alias("doc_id"))
         rows = id_text(docs).where(F.length("text") <= TRAIN_TEXT_CHARS).join(F.broadcast(sample), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         held = 0
         for r in rows.toLocalIterator():
