@@ -213,3 +213,17 @@ def test_batches_row_by_row(spark):
     sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     found = C.betweenness_by_joins(table(spark, edges), sources, batch_pairs=80, kernel_edges=0).collect()
     assert {r["id"]: r["score"] for r in found} == pytest.approx({v: x for v, x in oracles.betweenness(edges).items() if x})
+
+
+def _runs(column):
+    return 1 + np.count_nonzero(np.diff(column))
+
+
+def test_pairs_come_by_vertex():
+    # by source, a vertex would change with every row, and files take all its bits each time
+    edges = graph(15, 60, 200, (1, 2, 3))
+    found = ShortestPaths(*arrays(edges))
+    found.PAIRS, found.COLUMNS = 60 * 16, 16
+    for rows in (found.distances, found.counts):
+        blocks = list(rows(np.arange(len(found.ids))))
+        assert len(blocks) > 1 and all(_runs(v) == len(set(v.tolist())) for _, v, _ in blocks)
