@@ -227,3 +227,11 @@ def test_pairs_come_by_vertex():
     for rows in (found.distances, found.counts):
         blocks = list(rows(np.arange(len(found.ids))))
         assert len(blocks) > 1 and all(_runs(v) == len(set(v.tolist())) for _, v, _ in blocks)
+
+
+def test_path_edges_come_by_edge():
+    edges = graph(15, 60, 200, (1, 2, 3))
+    found = ShortestPaths(*arrays(edges))
+    found.PAIRS, found.COLUMNS = 60 * 16, 16
+    blocks = list(found.path_edges(np.arange(len(found.ids))))
+    assert len(blocks) > 1 and all(_runs(v) == len(set(v.tolist())) and _runs(u) <= len(edges) for _, u, v in blocks)
