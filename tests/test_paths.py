@@ -235,3 +235,24 @@ def test_path_edges_come_by_edge():
     found.PAIRS, found.COLUMNS = 60 * 16, 16
     blocks = list(found.path_edges(np.arange(len(found.ids))))
     assert len(blocks) > 1 and all(_runs(v) == len(set(v.tolist())) and _runs(u) <= len(edges) for _, u, v in blocks)
+
+
+def parallel(seed):
+    """A graph whose edges stand there once or twice at their least weight, and often at heavier ones."""
+    least = {(a, b): w for a, b, w in graph(seed, 20, 45, (1, 2, 3))}
+    return [(a, b, w + k) for (a, b), w in least.items() for k in [0] * (1 + (a + b) % 2) + list(range(1, 8))], len(least)
+
+
+def _none_by_rows(monkeypatch):
+    def refused(*_):
+        raise AssertionError("joined row by row")
+
+    monkeypatch.setattr(C, "_by_joins", refused)
+
+
+def test_by_joins_takes_lightest_edges_alone(spark, monkeypatch):
+    _none_by_rows(monkeypatch)
+    edges, many = parallel(16)
+    sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = C.betweenness_by_joins(table(spark, edges), sources, kernel_edges=2 * many).collect()
+    assert len(edges) > 2 * many and {r["id"]: r["score"] for r in found} == pytest.approx({v: x for v, x in oracles.betweenness(edges).items() if x})
