@@ -256,3 +256,11 @@ def test_by_joins_takes_lightest_edges_alone(spark, monkeypatch):
     sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     found = C.betweenness_by_joins(table(spark, edges), sources, kernel_edges=2 * many).collect()
     assert len(edges) > 2 * many and {r["id"]: r["score"] for r in found} == pytest.approx({v: x for v, x in oracles.betweenness(edges).items() if x})
+
+
+def test_top_scores_take_lightest_edges_alone(spark, monkeypatch):
+    _none_by_rows(monkeypatch)
+    edges, many = parallel(17)
+    top = C.top_scores(C.betweenness(table(spark, edges), kernel_edges=2 * many)).collect()
+    expected = sorted(((round(x + 1e-7, 3), v) for v, x in oracles.betweenness(edges).items()), key=lambda x: (-x[0], x[1]))
+    assert [(r["score"], r["id"]) for r in top] == [(pytest.approx(x), v) for x, v in expected]
