@@ -264,3 +264,22 @@ def test_top_scores_take_lightest_edges_alone(spark, monkeypatch):
     top = C.top_scores(C.betweenness(table(spark, edges), kernel_edges=2 * many)).collect()
     expected = sorted(((round(x + 1e-7, 3), v) for v, x in oracles.betweenness(edges).items()), key=lambda x: (-x[0], x[1]))
     assert [(r["score"], r["id"]) for r in top] == [(pytest.approx(x), v) for x, v in expected]
+
+
+@pytest.fixture
+def in_tasks(monkeypatch):
+    asked, rows = [], C._rows_in_tasks
+    monkeypatch.setattr(C, "_rows_in_tasks", lambda *a: asked.append(a[0].count()) or rows(*a))
+    return asked
+
+
+def test_counts_take_lightest_edges_alone(spark, in_tasks):
+    edges, many = parallel(20)
+    sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found, plain = ({(r["s"], r["v"]): r["sigma"] for r in C.all_shortest_path_counts(table(spark, edges), sources, n).collect()} for n in (2 * many, len(edges)))
+    near = plain_distances(edges)
+    expected = {(s, s): 1 for s, _ in near}
+    for s, v in sorted(near, key=near.get):
+        if s != v:
+            expected[s, v] = sum(expected[s, a] for a, b, w in edges if b == v and (s, a) in near and near[s, a] + w == near[s, v])
+    assert found == plain == expected and len(in_tasks) == 2 and max(in_tasks) <= 2 * many
