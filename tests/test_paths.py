@@ -283,3 +283,12 @@ def test_counts_take_lightest_edges_alone(spark, in_tasks):
         if s != v:
             expected[s, v] = sum(expected[s, a] for a, b, w in edges if b == v and (s, a) in near and near[s, a] + w == near[s, v])
     assert found == plain == expected and len(in_tasks) == 2 and max(in_tasks) <= 2 * many
+
+
+def test_compressed_scores_take_lightest_edges_alone(spark, monkeypatch):
+    # 50 and 51 have several ways on, all to the same vertex: with the lightest one alone they are of an in-tree
+    _none_by_rows(monkeypatch)
+    edges, many = parallel(19)
+    edges += [(50, 51, 2), (50, 51, 3), (51, 1, 1), (51, 1, 4)]
+    found = C.betweenness_compressed(table(spark, edges), kernel_edges=2 * many + 4).collect()
+    assert {r["id"]: r["score"] for r in found} == pytest.approx(oracles.betweenness(edges))
