@@ -292,3 +292,11 @@ def test_compressed_scores_take_lightest_edges_alone(spark, monkeypatch):
     edges += [(50, 51, 2), (50, 51, 3), (51, 1, 1), (51, 1, 4)]
     found = C.betweenness_compressed(table(spark, edges), kernel_edges=2 * many + 4).collect()
     assert {r["id"]: r["score"] for r in found} == pytest.approx(oracles.betweenness(edges))
+
+
+def test_scores_of_some_sources_take_lightest_edges_alone(spark, monkeypatch):
+    _none_by_rows(monkeypatch)
+    edges, many = parallel(18)
+    some = sorted({a for a, _, _ in edges if a % 3})
+    found = C.betweenness(table(spark, edges), spark.createDataFrame([(s,) for s in some], "id bigint"), kernel_edges=2 * many).collect()
+    assert {r["id"]: r["score"] for r in found} == pytest.approx(oracles.betweenness(edges, some))
