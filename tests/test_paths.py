@@ -300,3 +300,10 @@ def test_scores_of_some_sources_take_lightest_edges_alone(spark, monkeypatch):
     some = sorted({a for a, _, _ in edges if a % 3})
     found = C.betweenness(table(spark, edges), spark.createDataFrame([(s,) for s in some], "id bigint"), kernel_edges=2 * many).collect()
     assert {r["id"]: r["score"] for r in found} == pytest.approx(oracles.betweenness(edges, some))
+
+
+def test_distances_take_lightest_edges_alone(spark, in_tasks):
+    edges, many = parallel(21)
+    sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = {(r["s"], r["v"]): r["d"] for r in C.shortest_distances(table(spark, edges), sources, 2 * many).collect()}
+    assert found == plain_distances(edges) and len(in_tasks) == 1
