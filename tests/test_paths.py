@@ -307,3 +307,11 @@ def test_distances_take_lightest_edges_alone(spark, in_tasks):
     sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     found = {(r["s"], r["v"]): r["d"] for r in C.shortest_distances(table(spark, edges), sources, 2 * many).collect()}
     assert found == plain_distances(edges) and len(in_tasks) == 1
+
+
+def test_path_edges_take_lightest_edges_alone(spark, in_tasks):
+    edges, many = parallel(22)
+    near = plain_distances(edges)
+    sources = table(spark, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = C.all_shortest_path_edges(table(spark, edges), sources, 2 * many).collect()
+    assert sorted(map(tuple, found)) == sorted((s, a, b) for s in {s for s, _ in near} for a, b, w in edges if (s, a) in near and near[s, a] + w == near[s, b]) and len(in_tasks) == 1
